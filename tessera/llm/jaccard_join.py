@@ -6,10 +6,11 @@ A document's set holds the hashes of its distinct 5-word shingles. Documents wit
    then by hash, so shared passages come last.
 2. In that order two sets that are similar enough share a shingle among the first |x| - ceil(t|x|) + 1. Only these are dealt out,
    by shingle; where a shingle has two classes or more it gives an inverted list.
-3. Every class is a query against the smallest class of the lists it is in (the one it meets in most lists), and DivideSkip says
+3. Every class is matched with the smallest class of the lists it is in (the one it meets in most lists), and DivideSkip says
    which of these reach the required overlap: short lists are heap-merged, the longest are probed by binary search.
-4. The links found make components. Pairs that share a list but not yet a component are queries of a second round; pairs
-   in one component already need no further link. So the components are those of all links, without all pairs of a group.
+4. The links found make components. Pairs that share lists but not yet a component go through a second round, if they share as
+   many lists as a link of their sizes must; pairs in one component already need no further link. So the components
+   are those of all links, without all pairs of a group.
 
 Defined results: a null or empty text has an empty set and links with nothing; texts of fewer words than a shingle are one shingle;
 repeated rows have equal sets and so one component; a null id takes part, but is no component's name (a component of null ids
@@ -170,7 +171,7 @@ def _postings(levels, n: int, num: int, den: int, buckets: int):
 
 
 def _lists(levels):
-    """A bucket's inverted lists of two classes or more (for shingles dealt over several buckets: any), as rows ``h, k, n, lead``."""
+    """A bucket's inverted lists of two classes or more (for shingles dealt over several buckets: any), as rows ``h, k, n, lead, lead_n``."""
 
     def lists(table: pa.Table) -> pa.Table:
         rows = np.frombuffer(b"".join(table.column("body").to_pylist()), dtype=_POSTING)
@@ -181,12 +182,22 @@ def _lists(levels):
         dealt = levels.value[(rows["h"][first] & np.uint64(SLOTS - 1)).astype(np.int64)] > 0
         keep = np.repeat((sizes > 1) | dealt, sizes)
         lead = np.repeat(rows["k"][first], sizes)[keep]  # rows of a list are in order of class
+        lead_n = np.repeat(rows["n"][first], sizes)[keep].astype(np.int64)
         rows = rows[keep]
-        return pa.table({"h": rows["h"].view(np.int64), "k": np.ascontiguousarray(rows["k"]), "n": rows["n"].astype(np.int64), "lead": lead})
+        return pa.table({"h": np.ascontiguousarray(rows["h"]).view(np.int64), "k": np.ascontiguousarray(rows["k"]), "n": rows["n"].astype(np.int64), "lead": lead, "lead_n": lead_n})
 
     return lists
 
 
+def _least_shared(n1, n2, num: int, den: int):
+    """Prefix shingles that two sets of these sizes share at least if they link.
+
+    Of the two, take the set whose prefix ends first in the order: what it shares within its prefix is in the other's prefix too,
+    and beyond its prefix it has ceil(t|x|) - 1 shingles.
+    """
+    return F.ceil(num * (n1 + n2) / (num + den)) - F.ceil(num * F.greatest(n1, n2) / den) + 1
+
+
 def _required(a: int, b: int, num: int, den: int) -> int:
     return -(-num * (a + b) // (num + den))
 
@@ -301,27 +312,29 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int,
     total = surveyed.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(256, -(-total * (den - num) // den // BUCKET_ENTRIES))
     body = texts.select("text").mapInArrow(_postings(levels, shingle, num, den, buckets), "bucket long, body binary")
-    lists = _stage.written(body.groupBy("bucket").applyInArrow(_lists(levels), "h long, k long, n long, lead long"), "lists")
+    lists = _stage.written(body.groupBy("bucket").applyInArrow(_lists(levels), "h long, k long, n long, lead long, lead_n long"), "lists")
 
     tops = lists.groupBy("h").agg(F.min("lead").alias("top"), F.max("lead").alias("last")).where("top < last").select("h", "top")
-    met = lists.select("k", "lead").where("k != lead")
-    met = met.union(lists.select("h", F.col("lead").alias("k")).distinct().join(tops, "h").select("k", F.col("top").alias("lead")).where("k != lead"))
-    counted = met.groupBy("k", "lead").count()
-    best = counted.groupBy("k").agg(F.max(F.struct("count", (-F.col("lead")).alias("neg"))).alias("m"))
+    counted = lists.where("k != lead").groupBy("k", "lead").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("lead_n").alias("lead_n"))
+    counted = counted.where(F.col("shared") >= _least_shared(F.col("n"), F.col("lead_n"), num, den)).select("k", "lead", "shared")
+    across = lists.select("h", F.col("lead").alias("k")).distinct().join(tops, "h").where("k != top").groupBy("k", F.col("top").alias("lead")).agg(F.count("*").alias("shared"))
+    best = counted.unionByName(across).groupBy("k").agg(F.max(F.struct("shared", (-F.col("lead")).alias("neg"))).alias("m"))
     pairs = _stage.written(best.select((-F.col("m.neg")).alias("a"), F.col("k").alias("b")), "pairs")
-
-    sets = _sets(texts, lists, shingle, min(64, tasks))
+    keys = _keys(pairs)
+    sets = _sets(texts, keys, shingle, min(64, tasks))
     first = _stage.written(_links(pairs, sets, num, den), "links")
     labels = components(first)
 
     named = lists.select("h", "k", "n").join(labels, "k", "left").select("h", "k", "n", F.coalesce("label", "k").alias("label"))
     named = _stage.written(named, "named")
-    open_lists = _stage.written(named.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("h"), "open")
-    rest = _stage.written(named.join(open_lists, "h", "left_semi"), "rest")
+    open_lists = named.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("h")
+    rest = _stage.written(named.join(_stage.written(open_lists, "open"), "h", "left_semi"), "rest")
     a, b = rest.alias("a"), rest.alias("b")
     fits = (F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num) & (F.col("a.k") < F.col("b.k")) & (F.col("a.label") != F.col("b.label"))
-    more = a.join(b, (F.col("a.h") == F.col("b.h")) & fits).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
-    second = _stage.written(_links(_stage.written(more, "pairs"), sets, num, den), "links")
+    shared = a.join(b, (F.col("a.h") == F.col("b.h")) & fits).groupBy(F.col("a.k").alias("a"), F.col("b.k").alias("b")).agg(F.count("*").alias("shared"), F.first("a.n").alias("an"), F.first("b.n").alias("bn"))
+    pairs = _stage.written(shared.where(F.col("shared") >= _least_shared(F.col("an"), F.col("bn"), num, den)).select("a", "b"), "pairs")
+    sets = sets.unionByName(_sets(texts, _keys(pairs).join(keys, "k", "left_anti"), shingle, min(64, tasks)))
+    second = _stage.written(_links(pairs, sets, num, den), "links")
     links = first.unionByName(second)
     labels = components(links) if second.limit(1).count() else labels
 
@@ -332,8 +345,12 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int,
     return JaccardJoin(documents, links, members)
 
 
-def _sets(texts: DataFrame, lists: DataFrame, n: int, tasks: int) -> DataFrame:
-    """``k, cls, body``: the sets of the classes that are in a list, each once; found again by a pass behind a filter of fixed size."""
+def _keys(pairs: DataFrame) -> DataFrame:
+    return _stage.written(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct(), "keys")
+
+
+def _sets(texts: DataFrame, keys: DataFrame, n: int, tasks: int) -> DataFrame:
+    """``k, cls, body``: the sets of the classes with these keys, each once; found again by a pass behind a filter of fixed size."""
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
@@ -341,7 +358,7 @@ def _sets(texts: DataFrame, lists: DataFrame, n: int, tasks: int) -> DataFrame:
             _bits.set_bits(bits, batch.column("k").to_numpy().view(np.uint64) % np.uint64(FILTER_BITS))
         yield from _bits.as_blocks(bits)
 
-    wanted = texts.sparkSession.sparkContext.broadcast(_bits.gathered(_bits.merge_blocks(lists.select("k").distinct().mapInArrow(mark, "block int, bits binary"), tasks), FILTER_BITS // 8))
+    wanted = texts.sparkSession.sparkContext.broadcast(_bits.gathered(_bits.merge_blocks(keys.select("k").mapInArrow(mark, "block int, bits binary"), tasks), FILTER_BITS // 8))
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
