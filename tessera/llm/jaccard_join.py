@@ -34,8 +34,9 @@ from tessera.llm import _bits, _stage, _text
 
 SHINGLE = 5
 THRESHOLD = (75, 100)
-#: Slots for shingle counts (fixed size; only the order of shingles depends on it, never the result).
-SLOTS = 1 << 20
+#: Slots for shingle counts: SLOTS_A_DOCUMENT for each, within these bounds (only the order of shingles depends on them, never the result).
+SLOTS_A_DOCUMENT = 16
+SLOTS = (1 << 16, 1 << 24)
 SLOT_BLOCK = 1 << 14
 #: Prefix entries of a bucket on average, and followers of a query in one group.
 BUCKET_ENTRIES = 400_000
@@ -64,17 +65,25 @@ def key_of(cls: bytes) -> int:
     return int.from_bytes(cls[:8], "little", signed=True)
 
 
-_SURVEY = "doc_id long, n_shingles long, cls binary, k long, block int, counts binary"
+_SURVEY = "doc_id long, row_key long, n_shingles long, cls binary, k long, block int, counts binary"
 
 
-def _survey(n: int):
+def slots_for(rows: int) -> int:
+    return min(max(SLOTS[0], 1 << (SLOTS_A_DOCUMENT * max(1, rows) - 1).bit_length()), SLOTS[1])
+
+
+def _survey(n: int, n_slots: int):
     def survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = np.zeros(SLOTS, dtype=np.int64)
+        slots = np.zeros(n_slots, dtype=np.uint32)
 
-        def out(ids, sizes, classes, blocks, counts):
+        def out(ids, row_keys, sizes, classes, blocks, counts):
             keys = [key_of(c) if c else None for c in classes]
-            arrays = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(keys, pa.int64()), pa.array(blocks, pa.int32()), pa.array(counts, pa.binary())]
-            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "cls", "k", "block", "counts"])
+            arrays = [pa.array(ids, pa.int64()), pa.array(row_keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(keys, pa.int64()), pa.array(blocks, pa.int32()), pa.array(counts, pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "row_key", "n_shingles", "cls", "k", "block", "counts"])
+
+        def add(pending: list[np.ndarray]) -> None:
+            at, times = np.unique((np.concatenate(pending) & np.uint64(n_slots - 1)).astype(np.int32), return_counts=True)
+            slots[at] += times.astype(np.uint32)
 
         for batch in batches:
             sizes, classes, pending, held = [], [], [], 0
@@ -83,54 +92,63 @@ def _survey(n: int):
                 classes.append(digest(own))
                 pending.append(own)
                 held += len(own)
-                if held > 500_000:
-                    slots += np.bincount((np.concatenate(pending) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+                if held > 1_000_000:
+                    add(pending)
                     pending, held = [], 0
             if pending:
-                slots += np.bincount((np.concatenate(pending) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+                add(pending)
             none = [None] * len(sizes)
-            yield out(batch.column("doc_id"), sizes, classes, none, none)
-        for b in range(0, SLOTS, SLOT_BLOCK):
+            yield out(batch.column("doc_id"), batch.column("row_key"), sizes, classes, none, none)
+        for b in range(0, n_slots, SLOT_BLOCK):
             part = slots[b : b + SLOT_BLOCK]
-            if part.any():
-                yield out([None], [None], [None], [b // SLOT_BLOCK], [part.astype("<u4").tobytes()])
+            if (most := part.max()) > 0:
+                kind = "<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4"
+                yield out([None], [None], [None], [None], [b // SLOT_BLOCK], [part.astype(kind).tobytes()])
 
     return survey
 
 
-def _slot_sums(surveyed: DataFrame, tasks: int) -> np.ndarray:
-    """Counts by slot over all documents: SLOTS numbers, whatever the input's size."""
+def _slot_sums(surveyed: DataFrame, n_slots: int, tasks: int) -> np.ndarray:
+    """Counts by slot over all documents: as many numbers as slots, whatever the input's size."""
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, counts in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
-                new = np.frombuffer(counts.as_buffer(), dtype="<u4").astype(np.int64)
+                body = counts.as_buffer()
+                new = np.frombuffer(body, dtype=f"<u{body.size // SLOT_BLOCK}").astype(np.int64)
                 have[b] = have[b] + new if b in have else new
         for b, counts in have.items():
-            yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "counts": pa.array([counts.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "counts": pa.array([np.minimum(counts, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())})
 
-    out = np.zeros(SLOTS, dtype=np.int64)
+    out = np.zeros(n_slots, dtype=np.uint32)
     parts = surveyed.where("block is not null").select("block", "counts").repartition(tasks, "block").mapInArrow(add, "block int, counts binary")
     for row in parts.toLocalIterator():
-        out[row["block"] * SLOT_BLOCK :][:SLOT_BLOCK] = np.frombuffer(bytes(row["counts"]), dtype=np.int64)
+        out[row["block"] * SLOT_BLOCK :][:SLOT_BLOCK] = np.frombuffer(bytes(row["counts"]), dtype="<u4")
     return out
 
 
 def frequency_levels(slots: np.ndarray) -> np.ndarray:
     """0 for slots up to twice the mean count, then one level for each doubling."""
     mean = max(1.0, float(slots.mean()))
-    return np.clip(np.floor(np.log2(np.maximum(slots / mean, 1e-9))), 0, 63).astype(np.uint64)
+    out = np.zeros(len(slots), dtype=np.uint8)
+    some = np.flatnonzero(slots >= 2 * mean)
+    out[some] = np.minimum(np.log2(slots[some] / mean), 63).astype(np.uint8)
+    return out
+
+
+def levels_of(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    return levels[(hashes & np.uint64(len(levels) - 1)).astype(np.int64)].astype(np.uint64)
 
 
 def prefix(own: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarray:
     """The first |x| - ceil(t|x|) + 1 shingles in the order of frequency level, then hash."""
     p = len(own) - -(-num * len(own) // den) + 1
-    order = (levels[(own & np.uint64(SLOTS - 1)).astype(np.int64)] << np.uint64(58)) | (own >> np.uint64(6))
-    return own[np.argpartition(order, p - 1)[:p]] if p < len(own) else own
+    order = (levels_of(own, levels) << np.uint64(58)) | (own >> np.uint64(6))
+    return own[np.argsort(order, kind="stable")[:p]]
 
 
-_POSTING = np.dtype([("h", "<u8"), ("k", "<i8"), ("n", "<u4")])
+_POSTING = np.dtype([("h", "<u8"), ("k", "<i8"), ("n", "<u4"), ("at", "<u4")])
 
 
 def _postings(levels, n: int, num: int, den: int, buckets: int):
@@ -143,7 +161,7 @@ def _postings(levels, n: int, num: int, den: int, buckets: int):
 
         def flush():
             rows = np.concatenate(hold)
-            level = levels.value[(rows["h"] & np.uint64(SLOTS - 1)).astype(np.int64)]
+            level = levels_of(rows["h"], levels.value)
             spread = np.minimum(np.uint64(1) << np.minimum(level, np.uint64(16)), np.uint64(buckets))
             part = (rows["h"] + (rows["k"].view(np.uint64) % spread)) % np.uint64(buckets)
             order = np.argsort(part, kind="stable")
@@ -158,7 +176,7 @@ def _postings(levels, n: int, num: int, den: int, buckets: int):
                 seen.add(k)
                 first = prefix(own, levels.value, num, den)
                 rows = np.empty(len(first), dtype=_POSTING)
-                rows["h"], rows["k"], rows["n"] = first, k, len(own)
+                rows["h"], rows["k"], rows["n"], rows["at"] = first, k, len(own), np.arange(len(first))
                 hold.append(rows)
                 held += len(rows)
                 if held > 1_000_000:
@@ -171,7 +189,10 @@ def _postings(levels, n: int, num: int, den: int, buckets: int):
 
 
 def _lists(levels):
-    """A bucket's inverted lists of two classes or more (for shingles dealt over several buckets: any), as rows ``h, k, n, lead, lead_n``."""
+    """A bucket's inverted lists of two classes or more (for shingles dealt over several buckets: any), as rows ``h, k, n, at, lead, lead_n``.
+
+    ``at`` is the shingle's place in the class's own order.
+    """
 
     def lists(table: pa.Table) -> pa.Table:
         rows = np.frombuffer(b"".join(table.column("body").to_pylist()), dtype=_POSTING)
@@ -179,12 +200,12 @@ def _lists(levels):
         rows = rows[np.append(True, (rows["h"][1:] != rows["h"][:-1]) | (rows["k"][1:] != rows["k"][:-1]))]
         first = np.flatnonzero(np.diff(rows["h"], prepend=rows["h"][0] + np.uint64(1)))
         sizes = np.diff(np.append(first, len(rows)))
-        dealt = levels.value[(rows["h"][first] & np.uint64(SLOTS - 1)).astype(np.int64)] > 0
+        dealt = levels_of(rows["h"][first], levels.value) > 0
         keep = np.repeat((sizes > 1) | dealt, sizes)
         lead = np.repeat(rows["k"][first], sizes)[keep]  # rows of a list are in order of class
         lead_n = np.repeat(rows["n"][first], sizes)[keep].astype(np.int64)
         rows = rows[keep]
-        return pa.table({"h": np.ascontiguousarray(rows["h"]).view(np.int64), "k": np.ascontiguousarray(rows["k"]), "n": rows["n"].astype(np.int64), "lead": lead, "lead_n": lead_n})
+        return pa.table({"h": np.ascontiguousarray(rows["h"]).view(np.int64), "k": np.ascontiguousarray(rows["k"]), "n": rows["n"].astype(np.int64), "at": rows["at"].astype(np.int64), "lead": lead, "lead_n": lead_n})
 
     return lists
 
@@ -305,14 +326,15 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int,
     num, den = threshold
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = _stage.columns_of(docs, doc_id="long", text="string")
-    surveyed = _stage.written(texts.mapInArrow(_survey(shingle), _SURVEY), "survey")
-    members = surveyed.where("block is null").select("doc_id", "n_shingles", "cls", "k")
-    levels = spark.sparkContext.broadcast(frequency_levels(_slot_sums(surveyed, min(64, tasks))))
+    texts = _stage.columns_of(docs, doc_id="long", text="string").withColumn("row_key", F.xxhash64("text"))
+    n_slots = slots_for(texts.count())
+    surveyed = _stage.written(texts.mapInArrow(_survey(shingle, n_slots), _SURVEY), "survey")
+    members = surveyed.where("block is null").select("doc_id", "row_key", "n_shingles", "cls", "k")
+    levels = spark.sparkContext.broadcast(frequency_levels(_slot_sums(surveyed, n_slots, min(64, tasks))))
     total = surveyed.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(256, -(-total * (den - num) // den // BUCKET_ENTRIES))
     body = texts.select("text").mapInArrow(_postings(levels, shingle, num, den, buckets), "bucket long, body binary")
-    lists = _stage.written(body.groupBy("bucket").applyInArrow(_lists(levels), "h long, k long, n long, lead long, lead_n long"), "lists")
+    lists = _stage.written(body.groupBy("bucket").applyInArrow(_lists(levels), "h long, k long, n long, at long, lead long, lead_n long"), "lists")
 
     tops = lists.groupBy("h").agg(F.min("lead").alias("top"), F.max("lead").alias("last")).where("top < last").select("h", "top")
     counted = lists.where("k != lead").groupBy("k", "lead").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("lead_n").alias("lead_n"))
@@ -321,19 +343,22 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int,
     best = counted.unionByName(across).groupBy("k").agg(F.max(F.struct("shared", (-F.col("lead")).alias("neg"))).alias("m"))
     pairs = _stage.written(best.select((-F.col("m.neg")).alias("a"), F.col("k").alias("b")), "pairs")
     keys = _keys(pairs)
-    sets = _sets(texts, keys, shingle, min(64, tasks))
+    sets = _sets(texts, members, keys, shingle, min(64, tasks))
     first = _stage.written(_links(pairs, sets, num, den), "links")
     labels = components(first)
 
-    named = lists.select("h", "k", "n").join(labels, "k", "left").select("h", "k", "n", F.coalesce("label", "k").alias("label"))
+    named = lists.select("h", "k", "n", "at").join(labels, "k", "left").select("h", "k", "n", "at", F.coalesce("label", "k").alias("label"))
     named = _stage.written(named, "named")
     open_lists = named.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("h")
     rest = _stage.written(named.join(_stage.written(open_lists, "open"), "h", "left_semi"), "rest")
     a, b = rest.alias("a"), rest.alias("b")
     fits = (F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num) & (F.col("a.k") < F.col("b.k")) & (F.col("a.label") != F.col("b.label"))
-    shared = a.join(b, (F.col("a.h") == F.col("b.h")) & fits).groupBy(F.col("a.k").alias("a"), F.col("b.k").alias("b")).agg(F.count("*").alias("shared"), F.first("a.n").alias("an"), F.first("b.n").alias("bn"))
-    pairs = _stage.written(shared.where(F.col("shared") >= _least_shared(F.col("an"), F.col("bn"), num, den)).select("a", "b"), "pairs")
-    sets = sets.unionByName(_sets(texts, _keys(pairs).join(keys, "k", "left_anti"), shingle, min(64, tasks)))
+    shared = a.join(b, (F.col("a.h") == F.col("b.h")) & fits).groupBy(F.col("a.k").alias("a"), F.col("b.k").alias("b")).agg(F.count("*").alias("shared"), F.first("a.n").alias("an"), F.first("b.n").alias("bn"), F.max("a.at").alias("a_at"), F.max("b.at").alias("b_at"))
+    asked = _least_shared(F.col("an"), F.col("bn"), num, den)
+    beyond = F.least(F.col("an") - F.col("a_at"), F.col("bn") - F.col("b_at")) - 1  # shingles after the last shared one
+    overlap = F.ceil(num * (F.col("an") + F.col("bn")) / (num + den))
+    pairs = _stage.written(shared.where((F.col("shared") >= asked) & (F.col("shared") + beyond >= overlap)).select("a", "b"), "pairs")
+    sets = sets.unionByName(_sets(texts, members, _keys(pairs).join(keys, "k", "left_anti"), shingle, min(64, tasks)))
     second = _stage.written(_links(pairs, sets, num, den), "links")
     links = first.unionByName(second)
     labels = components(links) if second.limit(1).count() else labels
@@ -349,27 +374,33 @@ def _keys(pairs: DataFrame) -> DataFrame:
     return _stage.written(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct(), "keys")
 
 
-def _sets(texts: DataFrame, keys: DataFrame, n: int, tasks: int) -> DataFrame:
-    """``k, cls, body``: the sets of the classes with these keys, each once; found again by a pass behind a filter of fixed size."""
+def _sets(texts: DataFrame, members: DataFrame, keys: DataFrame, n: int, tasks: int) -> DataFrame:
+    """``k, cls, body``: the sets of the classes with these keys, each once.
+
+    Of each class one text is read again, found by its hash behind a filter of fixed size; other texts are not cut into words.
+    """
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
         for batch in batches:
-            _bits.set_bits(bits, batch.column("k").to_numpy().view(np.uint64) % np.uint64(FILTER_BITS))
+            _bits.set_bits(bits, batch.column("row_key").to_numpy().view(np.uint64) % np.uint64(FILTER_BITS))
         yield from _bits.as_blocks(bits)
 
-    wanted = texts.sparkSession.sparkContext.broadcast(_bits.gathered(_bits.merge_blocks(keys.select("k").mapInArrow(mark, "block int, bits binary"), tasks), FILTER_BITS // 8))
+    one = members.join(keys, "k").groupBy("cls").agg(F.min("row_key").alias("row_key")).select("row_key")
+    blocks = _bits.merge_blocks(one.mapInArrow(mark, "block int, bits binary"), tasks)
+    wanted = texts.sparkSession.sparkContext.broadcast(_bits.gathered(blocks, FILTER_BITS // 8))
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
+            asked = _bits.get_bits(wanted.value, batch.column("row_key").to_numpy().view(np.uint64) % np.uint64(FILTER_BITS))
             rows = []
-            for _, own in shingle_sets(batch.column("text"), n):
-                if len(own) and (cls := digest(own)) not in seen and _bits.get_bits(wanted.value, np.array([key_of(cls)]).view(np.uint64) % np.uint64(FILTER_BITS))[0]:
+            for _, own in shingle_sets(batch.column("text").filter(pa.array(asked)), n):
+                if len(own) and (cls := digest(own)) not in seen:
                     seen.add(cls)
                     rows.append((key_of(cls), cls, own.tobytes()))
             k, cls, body = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_pydict({"k": pa.array(k, pa.int64()), "cls": pa.array(cls, pa.binary()), "body": pa.array(body, pa.binary())})
 
-    found = texts.select("text").mapInArrow(emit, "k long, cls binary, body binary")
+    found = texts.select("row_key", "text").mapInArrow(emit, "k long, cls binary, body binary")
     return _stage.written(found.dropDuplicates(["cls"]), "sets")
