@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tessera.llm import _text
+from tessera.llm import _stage, _text
 
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D, 0xFD7046C5, 0xB55A4F09)
 
@@ -46,15 +48,19 @@ class Indicators:
                 yield self._distinct(np.concatenate([s[a : max(a, b - n + 1)] for n, s in by_size]))
 
 
-def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, width: int, smooth: float = 1.0) -> np.ndarray:
-    """log of (share of a slot among label-1 indicators / among label-0 indicators), counts smoothed; 0 for slots never seen."""
+def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, width: int, smooth: float = 1.0, least_docs: int = 3, least_ratio: float = 0.4) -> np.ndarray:
+    """log of (share of a slot among label-1 indicators / among label-0 indicators), counts smoothed.
+
+    0, that is unused, for slots of fewer than ``least_docs`` rows and for ratios nearer to 0 than ``least_ratio``.
+    """
     counts = np.zeros((2, width))
     for slots, y in zip(rows, labels, strict=True):
         counts[int(y), slots] += 1
-    seen = counts.sum(axis=0) > 0
+    seen = counts.sum(axis=0) >= least_docs
     counts += smooth
     shares = counts / counts.sum(axis=1, keepdims=True)
-    return np.where(seen, np.log(shares[1] / shares[0]), 0.0)
+    ratios = np.log(shares[1] / shares[0])
+    return np.where(seen & (np.abs(ratios) >= least_ratio), ratios, 0.0)
 
 
 def fit_hinge(rows: list[np.ndarray], labels: np.ndarray, r: np.ndarray, cost: float = 1.0, epochs: int = 30, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -86,26 +92,6 @@ def fit_hinge(rows: list[np.ndarray], labels: np.ndarray, r: np.ndarray, cost: f
     return w, bias
 
 
-def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, r: np.ndarray, penalty: float = 1e-4, epochs: int = 30, rate: float = 0.5, seed: int = 7) -> tuple[np.ndarray, float]:
-    """As fit_hinge with the logistic loss, by adaptive stochastic gradient steps."""
-    y = np.where(labels > 0, 1.0, -1.0)
-    share = np.array([max(1, int((labels == k).sum())) for k in (0, 1)]) / max(1, len(labels))
-    weight = 0.5 / share[(labels > 0).astype(int)]
-    values = [r[slots] / max(1e-9, float(np.sqrt(r[slots] @ r[slots]))) for slots in rows]
-    w, bias, squares, bias_square = np.zeros(len(r)), 0.0, np.full(len(r), 1e-6), 1e-6
-    order = np.random.default_rng(seed)
-    for _ in range(epochs):
-        for i in order.permutation(len(rows)):
-            slots, v = rows[i], values[i]
-            g = -y[i] * weight[i] / (1.0 + np.exp(np.clip(y[i] * (w[slots] @ v + bias), -500, 500)))
-            step = g * v + penalty * w[slots]
-            squares[slots] += step * step
-            w[slots] -= rate * step / np.sqrt(squares[slots])
-            bias_square += g * g
-            bias -= rate * g / np.sqrt(bias_square)
-    return w, bias
-
-
 def margins(rows: list[np.ndarray], r: np.ndarray, w: np.ndarray, bias: float) -> np.ndarray:
     return np.array([(w[s] @ r[s]) / max(1e-9, float(np.sqrt(r[s] @ r[s]))) + bias for s in rows])
 
@@ -126,3 +112,86 @@ def fit_sigmoid(margin: np.ndarray, labels: np.ndarray, rounds: int = 100) -> tu
         if np.abs(step).max() < 1e-6:
             break
     return float(a), float(b)
+
+
+class Model:
+    """What scoring needs: ratios and weights by slot, the bias, the sigmoid, and how indicators are made."""
+
+    def __init__(self, sizes: tuple[int, ...], bits: int, slots: np.ndarray, ratios: np.ndarray, weights: np.ndarray, bias: float, a: float, b: float):
+        self.sizes, self.bits, self.bias, self.a, self.b = sizes, bits, bias, a, b
+        self.ratios, self.weights = np.zeros(1 << bits, dtype=np.float32), np.zeros(1 << bits, dtype=np.float32)
+        self.ratios[slots], self.weights[slots] = ratios, weights
+
+    def score(self, slots: np.ndarray) -> float:
+        r = self.ratios[slots]
+        norm = float(np.sqrt(r @ r))
+        margin = (float(self.weights[slots] @ r) / norm if norm else 0.0) + self.bias
+        return float(1 / (1 + np.exp(-np.clip(self.a * margin + self.b, -500, 500))))
+
+
+def sampled_labels(labels: DataFrame, label: str, modulus: int, remainder: int, per_class: int) -> DataFrame:
+    """At most ``per_class`` rows ``doc_id, label`` of either class, never held-out ones, in the order of a hash of the id."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
+    known = known.where(~_stage.held_out("doc_id", modulus, remainder)).groupBy("doc_id").agg(F.max("label").alias("label"))
+    ranked = known.orderBy(F.xxhash64("doc_id"), "doc_id")
+    return ranked.where("label = 0").limit(per_class).union(ranked.where("label = 1").limit(per_class))
+
+
+def train(docs: DataFrame, sample: DataFrame, sizes: tuple[int, ...], bits: int, cost: float = 1.0, epochs: int = 15) -> Model:
+    """Fit on the documents of ``sample`` (bounded by its maker): indicators by all tasks, the fit itself in one task.
+
+    Three quarters of the sample fit the machine, a quarter the sigmoid that turns margins into probabilities. Without both labels
+    every text scores the smoothed share of label 1.
+    """
+
+    def indicators(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            batch = batch.filter(pa.array([not (i in seen or seen.add(i)) for i in batch.column("doc_id").to_pylist()], pa.bool_()))
+            rows = [s.tobytes() for s in Indicators(sizes, bits).of(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.binary())], ["doc_id", "label", "slots"])
+
+    def fit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have: dict[int, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            for i, y, s in zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), batch.column("slots"), strict=True):
+                have[i] = (y, np.frombuffer(s.as_buffer(), dtype=np.int32).copy())
+        ids = sorted(have)
+        y = np.array([have[i][0] for i in ids], dtype=int)
+        rows = [have[i][1] for i in ids]
+        r = w = np.zeros(1 << bits)
+        bias, a, b = 0.0, 0.0, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+        if 0 < y.sum() < len(y):
+            rank = np.zeros(len(y), dtype=int)
+            for k in (0, 1):
+                rank[y == k] = np.arange((y == k).sum())
+            held = rank % 4 == 3
+            if not all((y[held] == k).any() for k in (0, 1)):
+                held[:] = False
+            own = [rows[i] for i in np.flatnonzero(~held)]
+            r = log_count_ratios(own, y[~held], 1 << bits)
+            used = [s[r[s] != 0] for s in own]
+            w, bias = fit_hinge(used, y[~held], r, cost, epochs)
+            check = held if held.any() else ~held
+            a, b = fit_sigmoid(margins([rows[i] for i in np.flatnonzero(check)], r, w, bias), y[check])
+        slots = np.flatnonzero(r)
+        row = {"slots": slots.astype(np.int32).tobytes(), "ratios": r[slots].astype(np.float32).tobytes(), "weights": w[slots].astype(np.float32).tobytes()}
+        yield pa.RecordBatch.from_pydict({k: pa.array([v], pa.binary()) for k, v in row.items()} | {k: pa.array([v], pa.float64()) for k, v in (("bias", bias), ("a", a), ("b", b))})
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+    rows = texts.mapInArrow(indicators, "doc_id long, label int, slots binary")
+    found = rows.repartition(1).mapInArrow(fit, "slots binary, ratios binary, weights binary, bias double, a double, b double").first()
+    return Model(sizes, bits, np.frombuffer(bytes(found["slots"]), np.int32), np.frombuffer(bytes(found["ratios"]), np.float32), np.frombuffer(bytes(found["weights"]), np.float32), found["bias"], found["a"], found["b"])
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, score`` of every whole text (null: the empty text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        makes = Indicators(m.sizes, m.bits)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([m.score(s) for s in makes.of(batch.column("text"))], pa.float64())], ["doc_id", "score"])
+
+    return _stage.columns_of(docs, doc_id="long", text="string").mapInArrow(score, "doc_id long, score double")
