@@ -336,11 +336,14 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int,
     body = texts.select("text").mapInArrow(_postings(levels, shingle, num, den, buckets), "bucket long, body binary")
     lists = _stage.written(body.groupBy("bucket").applyInArrow(_lists(levels), "h long, k long, n long, at long, lead long, lead_n long"), "lists")
 
-    tops = lists.groupBy("h").agg(F.min("lead").alias("top"), F.max("lead").alias("last")).where("top < last").select("h", "top")
-    counted = lists.where("k != lead").groupBy("k", "lead").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("lead_n").alias("lead_n"))
-    counted = counted.where(F.col("shared") >= _least_shared(F.col("n"), F.col("lead_n"), num, den)).select("k", "lead", "shared")
-    across = lists.select("h", F.col("lead").alias("k")).distinct().join(tops, "h").where("k != top").groupBy("k", F.col("top").alias("lead")).agg(F.count("*").alias("shared"))
-    best = counted.unionByName(across).groupBy("k").agg(F.max(F.struct("shared", (-F.col("lead")).alias("neg"))).alias("m"))
+    tops = lists.groupBy("h").agg(F.min("lead").alias("top"), F.max("lead").alias("last"), F.min_by("lead_n", "lead").alias("top_n")).where("top < last")
+    met = lists.where("k != lead").select("k", "n", "lead", "lead_n")
+    across = lists.select("h", F.col("lead").alias("k"), F.col("lead_n").alias("n")).distinct().join(tops, "h").where("k != top")
+    met = met.unionByName(across.select("k", "n", F.col("top").alias("lead"), F.col("top_n").alias("lead_n")))
+    met = met.where(F.least("n", "lead_n") * den >= F.greatest("n", "lead_n") * num)
+    counted = met.groupBy("k", "lead").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("lead_n").alias("lead_n"))
+    counted = counted.where(F.col("shared") >= _least_shared(F.col("n"), F.col("lead_n"), num, den))
+    best = counted.groupBy("k").agg(F.max(F.struct("shared", (-F.col("lead")).alias("neg"))).alias("m"))
     pairs = _stage.written(best.select((-F.col("m.neg")).alias("a"), F.col("k").alias("b")), "pairs")
     keys = _keys(pairs)
     sets = _sets(texts, members, keys, shingle, min(64, tasks))
