@@ -314,8 +314,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 class JaccardJoin:
-    """``documents``: doc_id, n_shingles, component_id. ``links``: the verified links (a, b) between class keys.
-    ``members``: doc_id, n_shingles, cls, k."""
+    """``documents``: doc_id, n_shingles, component_id, row_key (hash of the text). ``links``: the verified links (a, b) between class keys.
+    ``members``: doc_id, row_key, n_shingles, cls, k."""
 
     def __init__(self, documents: DataFrame, links: DataFrame, members: DataFrame):
         self.documents, self.links, self.members = documents, links, members
@@ -366,10 +366,10 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int,
     links = first.unionByName(second)
     labels = components(links) if second.limit(1).count() else labels
 
-    whole = _stage.written(members.join(labels, "k", "left").select("doc_id", "n_shingles", "cls", F.when(F.col("label").isNotNull(), F.col("label").cast("string").cast("binary")).otherwise(F.col("cls")).alias("group")), "grouped")
+    whole = _stage.written(members.join(labels, "k", "left").select("doc_id", "row_key", "n_shingles", "cls", F.when(F.col("label").isNotNull(), F.col("label").cast("string").cast("binary")).otherwise(F.col("cls")).alias("group")), "grouped")
     names = _stage.written(whole.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("name")), "names")
-    alone = whole.where("group is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    documents = whole.where("group is not null").join(names, "group").select("doc_id", "n_shingles", F.col("name").alias("component_id")).unionByName(alone)
+    alone = whole.where("group is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row_key")
+    documents = whole.where("group is not null").join(names, "group").select("doc_id", "n_shingles", F.col("name").alias("component_id"), "row_key").unionByName(alone)
     return JaccardJoin(documents, links, members)
 
 

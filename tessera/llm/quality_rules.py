@@ -23,7 +23,7 @@ from tessera.llm import _stage
 BUCKETS = 10_000
 SMOOTH = 1.0
 TRUSTED = 5000
-THRESHOLD = -0.35
+THRESHOLD = -0.2
 LEAST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
 WINDOW = 5

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, jaccard_join, langid, lm_bloom, mixing, pii, quality, quality_rules, toxicity
+from tessera.llm import decontam, jaccard_join, langid, lm_bloom, mixing, pii, quality, quality_rules, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +30,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents")).documents
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents")).documents.drop("row_key")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.as_text(base), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("target")
+
+
 QUERIES = {
+    "op1_warc": op1_warc,
     "op3_pii": op3_pii,
     "op9_quality_rules": op9_quality_rules,
     "op7_lm_scoring": op7_lm_scoring,
@@ -66,4 +71,14 @@ QUERIES = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+        with p as (select page_id, coalesce(html, '') as payload from pages),
+        d as (select page_id, cast(octet_length(encode(payload)) as bigint) as payload_bytes, sha256(payload) as payload_digest from p),
+        f as (select payload_digest as g, min(page_id) as first_id from d where payload_bytes >= 100 group by payload_digest)
+        select page_id, payload_bytes, payload_digest,
+               case when first_id is null or first_id = page_id then 'response' else 'revisit' end as record_type,
+               case when first_id <> page_id then first_id end as refers_to
+        from d left join f on payload_digest = g
+    """,
+}
