@@ -8,9 +8,10 @@ A document's set holds the hashes of its distinct 5-word shingles. Documents wit
    by shingle; where a shingle has two classes or more it gives an inverted list.
 3. Every class is matched with the smallest class of the lists it is in (the one it meets in most lists), and DivideSkip says
    which of these reach the required overlap: short lists are heap-merged, the longest are probed by binary search.
-4. The links found make components. Pairs that share lists but not yet a component go through a second round, if they share as
-   many lists as a link of their sizes must; pairs in one component already need no further link. So the components
-   are those of all links, without all pairs of a group.
+4. The links found make clusters (a class and what it was matched with) and components. Clusters that share lists but not
+   yet a component go through a second round: the members of the smaller are queries against blocks of the larger, again by DivideSkip. Two
+   single classes are left out if they share fewer lists than a link of their sizes must. Pairs in one component need no
+   further link, so the components are those of all links, and at no time is there a row for each pair of a group.
 
 Defined results: a null or empty text has an empty set and links with nothing; texts of fewer words than a shingle are one shingle;
 repeated rows have equal sets and so one component; a null id takes part, but is no component's name (a component of null ids
@@ -35,7 +36,7 @@ from tessera.llm import _bits, _stage, _text
 SHINGLE = 5
 THRESHOLD = (75, 100)
 #: Slots for shingle counts: SLOTS_A_DOCUMENT for each, within these bounds (only the order of shingles depends on them, never the result).
-SLOTS_A_DOCUMENT = 16
+SLOTS_A_DOCUMENT = 64
 SLOTS = (1 << 16, 1 << 24)
 SLOT_BLOCK = 1 << 14
 #: Prefix entries of a bucket on average, and followers of a query in one group.
@@ -223,28 +224,38 @@ def _required(a: int, b: int, num: int, den: int) -> int:
     return -(-num * (a + b) // (num + den))
 
 
-def divide_skip(query: np.ndarray, others: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Which of ``others`` reach the overlap with ``query`` that the threshold asks for, and their overlaps.
+class InvertedIndex:
+    """Inverted lists over some sets: for every shingle the numbers of the sets that hold it, ascending."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = [len(x) for x in sets]
+        tokens = np.concatenate(sets)
+        whose = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(tokens, kind="stable")
+        tokens, self.whose = tokens[order], whose[order]
+        self.first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+        self.tokens, self.last = tokens[self.first], np.append(self.first[1:], len(tokens))
+
+    def lists(self, query: np.ndarray) -> list[list[int]]:
+        """The lists of the query's shingles, short ones first."""
+        at = np.searchsorted(self.tokens, query)
+        at[at == len(self.tokens)] = 0
+        at = at[self.tokens[at] == query]
+        at = at[np.argsort(self.last[at] - self.first[at], kind="stable")]
+        return [self.whose[a:b].tolist() for a, b in zip(self.first[at], self.last[at], strict=True)]
+
+
+def divide_skip(query: np.ndarray, index: InvertedIndex, num: int, den: int) -> list[tuple[int, int]]:
+    """Which indexed sets reach the overlap with ``query`` that the threshold asks for, and their overlaps.
 
     With T the least overlap asked of any, the L longest lists are set aside: a set that is on T lists is on T - L of the others.
     """
-    need = [_required(len(query), len(o), num, den) for o in others]
+    need = [_required(len(query), n, num, den) for n in index.sizes]
     least = min(need)
-    places, whose = [], []
-    for j, o in enumerate(others):
-        at = np.searchsorted(query, o)
-        at[at == len(query)] = 0
-        own = at[query[at] == o]
-        if len(own) >= least:
-            places.append(own)
-            whose.append(np.full(len(own), j))
-    if not places:
+    inverted = index.lists(query)
+    if len(inverted) < least:
         return []
-    place, who = np.concatenate(places), np.concatenate(whose)
-    order = np.lexsort((who, place))
-    place, who = place[order], who[order]
-    inverted = sorted((x.tolist() for x in np.split(who, np.flatnonzero(np.diff(place)) + 1)), key=len)
-    aside = min(len(inverted), max(0, least - 1), int(least / (0.01 * log(max(2, len(inverted[-1]))) + 1)))
+    aside = min(least - 1, int(least / (0.01 * log(max(2, len(inverted[-1]))) + 1)))
     short, long_lists = inverted[: len(inverted) - aside], inverted[len(inverted) - aside :]
     out, now, count = [], -1, 0
 
@@ -260,13 +271,11 @@ def divide_skip(query: np.ndarray, others: list[np.ndarray], num: int, den: int)
         if total >= need[now]:
             out.append((now, total))
 
-    merged = heapq.merge(*short) if least - aside > 0 and short else iter(range(len(others)))
-    counts_all = least - aside > 0 and bool(short)
-    for j in merged:
+    for j in heapq.merge(*short):
         if j != now:
             settle()
             now, count = j, 0
-        count += counts_all
+        count += 1
     settle()
     return out
 
@@ -275,24 +284,43 @@ def _verified(num: int, den: int):
     def verify(table: pa.Table) -> pa.Table:
         roles, keys, bodies = table.column("role").to_pylist(), table.column("k").to_pylist(), table.column("body").to_pylist()
         sets = [np.frombuffer(b, dtype=np.uint64) for b in bodies]
+        indexed = [i for i, role in enumerate(roles) if role == 1]
+        queries = [i for i, role in enumerate(roles) if role == 0]
         links: set[tuple[int, int]] = set()
-        others = [i for i, role in enumerate(roles) if role == 1]
-        for q in (i for i, role in enumerate(roles) if role == 0):  # one, unless two classes share a key
-            if others:
-                links.update((keys[q], keys[others[j]]) for j, _ in divide_skip(sets[q], [sets[i] for i in others], num, den))
+        if indexed and queries:
+            index = InvertedIndex([sets[i] for i in indexed])
+            for q in queries:
+                links.update((keys[q], keys[indexed[j]]) for j, _ in divide_skip(sets[q], index, num, den))
         a, b = zip(*sorted(links), strict=True) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return verify
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of the pairs (a, b) of class keys those that link. A query with many partners is split into groups of about GROUP."""
-    parts = _stage.written(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts")), "parts")
-    queries = parts.join(sets, parts["a"] == sets["k"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "k", "body")
-    dealt = _stage.written(pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b"), "dealt")
-    partners = dealt.join(sets, dealt["b"] == sets["k"]).select("a", "part", F.lit(1).alias("role"), "k", "body")
-    return queries.unionByName(partners).groupBy("a", "part").applyInArrow(_verified(num, den), "a long, b long")
+def _star_links(followers: DataFrame, leads: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b``: which followers (cluster, k) link with the lead of their cluster."""
+    blocks = _stage.written(followers.groupBy("cluster").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks")), "blocks")
+    queries = leads.join(blocks, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), "k")
+    indexed = followers.join(blocks, "cluster").select("cluster", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), "k")
+    rows = _stage.written(queries.unionByName(indexed), "dealt")
+    return rows.join(sets.select("k", "body"), "k").groupBy("cluster", "block").applyInArrow(_verified(num, den), "a long, b long")
+
+
+def _links(clusters: DataFrame, pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b``: the links between members of paired clusters. ``clusters``: cluster, k; ``pairs``: a (indexed cluster), b (querying cluster).
+
+    A tile is a block of about GROUP members of an indexed cluster with about GROUP of all classes that query it, so no tile grows
+    with a group, and a class travels once for each block of the other side.
+    """
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))
+    asking = _stage.written(pairs.join(clusters, pairs["b"] == clusters["cluster"]).select("a", "k").distinct(), "asking")
+    parts = asking.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    tiles = _stage.written(parts.join(sizes, parts["a"] == sizes["cluster"]).select("a", "parts", "blocks"), "tiles")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    queries = asking.join(tiles, "a").select("a", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int").alias("part"), every("blocks").alias("block"), F.lit(0).alias("role"), "k")
+    indexed = clusters.join(tiles, clusters["cluster"] == tiles["a"]).select("a", every("parts").alias("part"), F.pmod(F.xxhash64("k", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), "k")
+    rows = _stage.written(queries.unionByName(indexed), "dealt")
+    return rows.join(sets.select("k", "body"), "k").groupBy("a", "part", "block").applyInArrow(_verified(num, den), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -344,25 +372,43 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int,
     counted = met.groupBy("k", "lead").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("lead_n").alias("lead_n"))
     counted = counted.where(F.col("shared") >= _least_shared(F.col("n"), F.col("lead_n"), num, den))
     best = counted.groupBy("k").agg(F.max(F.struct("shared", (-F.col("lead")).alias("neg"))).alias("m"))
+    # one query, the class matched with, against the classes that were matched with it
     pairs = _stage.written(best.select((-F.col("m.neg")).alias("a"), F.col("k").alias("b")), "pairs")
     keys = _keys(pairs)
     sets = _sets(texts, members, keys, shingle, min(64, tasks))
-    first = _stage.written(_links(pairs, sets, num, den), "links")
+    followers = pairs.select(F.col("a").alias("cluster"), F.col("b").alias("k"))
+    leads = followers.select(F.col("cluster").alias("k")).distinct().select(F.col("k").alias("cluster"), "k")
+    first = _stage.written(_star_links(followers, leads, sets, num, den), "links")
     labels = components(first)
 
-    named = lists.select("h", "k", "n", "at").join(labels, "k", "left").select("h", "k", "n", "at", F.coalesce("label", "k").alias("label"))
-    named = _stage.written(named, "named")
+    known = labels.join(first.select(F.col("b").alias("k"), F.col("a").alias("lead")), "k", "left").groupBy("k", "label").agg(F.min("lead").alias("lead"))
+    named = lists.select("h", "k", "n", "at").join(_stage.written(known, "known"), "k", "left")
+    named = _stage.written(named.select("h", "k", "n", "at", F.coalesce("label", "k").alias("label"), F.coalesce("lead", "k").alias("cluster")), "named")
     open_lists = named.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("h")
-    rest = _stage.written(named.join(_stage.written(open_lists, "open"), "h", "left_semi"), "rest")
+    rest = named.join(_stage.written(open_lists, "open"), "h", "left_semi")
+    rest = _stage.written(rest.groupBy("h", "cluster", "label").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.max("at").alias("at"), F.count("*").alias("size")), "rest")
     a, b = rest.alias("a"), rest.alias("b")
-    fits = (F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num) & (F.col("a.k") < F.col("b.k")) & (F.col("a.label") != F.col("b.label"))
-    shared = a.join(b, (F.col("a.h") == F.col("b.h")) & fits).groupBy(F.col("a.k").alias("a"), F.col("b.k").alias("b")).agg(F.count("*").alias("shared"), F.first("a.n").alias("an"), F.first("b.n").alias("bn"), F.max("a.at").alias("a_at"), F.max("b.at").alias("b_at"))
-    asked = _least_shared(F.col("an"), F.col("bn"), num, den)
+    single = (F.col("a.size") == 1) & (F.col("b.size") == 1)
+    # what two single sets can share at most, from the places of one shared shingle
+    room = F.least("a.at", "b.at") + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    fits = (F.col("a.most") * den >= F.col("b.n") * num) & (F.col("b.most") * den >= F.col("a.n") * num) & (F.col("a.cluster") < F.col("b.cluster")) & (F.col("a.label") != F.col("b.label"))
+    fits = fits & (~single | (room * (num + den) >= num * (F.col("a.n") + F.col("b.n"))))
+    met = a.join(b, (F.col("a.h") == F.col("b.h")) & fits).groupBy(F.col("a.cluster").alias("a"), F.col("b.cluster").alias("b"))
+    met = met.agg(F.count("*").alias("shared"), F.min("a.n").alias("an"), F.min("b.n").alias("bn"), F.max("a.at").alias("a_at"), F.max("b.at").alias("b_at"), F.max("a.most").alias("am"), F.max("b.most").alias("bm"))
+    clusters = _stage.written(named.select("cluster", "k").distinct(), "clusters")
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
+    met = met.join(sizes.select(F.col("cluster").alias("a"), F.col("size").alias("a_size")), "a").join(sizes.select(F.col("cluster").alias("b"), F.col("size").alias("b_size")), "b")
+    big = F.greatest("am", "bm")  # of the sizes met, the pair that asks for least: the smallest that can link with the largest
+    asked = _least_shared(F.greatest(F.least("an", "bn"), F.ceil(num * big / den)), big, num, den)
     beyond = F.least(F.col("an") - F.col("a_at"), F.col("bn") - F.col("b_at")) - 1  # shingles after the last shared one
     overlap = F.ceil(num * (F.col("an") + F.col("bn")) / (num + den))
-    pairs = _stage.written(shared.where((F.col("shared") >= asked) & (F.col("shared") + beyond >= overlap)).select("a", "b"), "pairs")
-    sets = sets.unionByName(_sets(texts, members, _keys(pairs).join(keys, "k", "left_anti"), shingle, min(64, tasks)))
-    second = _stage.written(_links(pairs, sets, num, den), "links")
+    grown = (F.col("a_size") > 1) | (F.col("b_size") > 1)
+    met = met.where((F.col("shared") >= asked) & (grown | (F.col("shared") + beyond >= overlap)))
+    larger = F.struct("a_size", "a") >= F.struct(F.col("b_size").alias("a_size"), F.col("b").alias("a"))
+    pairs = _stage.written(met.select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("b")), "pairs")
+    involved = _stage.written(clusters.join(_keys(pairs).withColumnRenamed("k", "cluster"), "cluster", "left_semi"), "involved")
+    sets = sets.unionByName(_sets(texts, members, involved.select("k").distinct().join(keys, "k", "left_anti"), shingle, min(64, tasks)))
+    second = _stage.written(_links(involved, pairs, sets, num, den), "links")
     links = first.unionByName(second)
     labels = components(links) if second.limit(1).count() else labels
 
