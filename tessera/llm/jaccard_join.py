@@ -27,6 +27,7 @@ from hashlib import blake2b
 from math import log
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -423,11 +424,8 @@ def _keys(pairs: DataFrame) -> DataFrame:
     return _stage.written(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct(), "keys")
 
 
-def _sets(texts: DataFrame, members: DataFrame, keys: DataFrame, n: int, tasks: int) -> DataFrame:
-    """``k, cls, body``: the sets of the classes with these keys, each once.
-
-    Of each class one text is read again, found by its hash behind a filter of fixed size; other texts are not cut into words.
-    """
+def _key_filter(keys: DataFrame, tasks: int):
+    """A broadcast filter of FILTER_BITS bits that passes every ``row_key`` of ``keys``, and few others."""
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
@@ -435,14 +433,50 @@ def _sets(texts: DataFrame, members: DataFrame, keys: DataFrame, n: int, tasks:
             _bits.set_bits(bits, batch.column("row_key").to_numpy().view(np.uint64) % np.uint64(FILTER_BITS))
         yield from _bits.as_blocks(bits)
 
+    blocks = _bits.merge_blocks(keys.mapInArrow(mark, "block int, bits binary"), tasks)
+    return keys.sparkSession.sparkContext.broadcast(_bits.gathered(blocks, FILTER_BITS // 8))
+
+
+def _passes(bits: np.ndarray, row_keys: np.ndarray) -> np.ndarray:
+    return _bits.get_bits(bits, row_keys.view(np.uint64) % np.uint64(FILTER_BITS))
+
+
+def deduplicate(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, of one document of each component: that with the component's smallest id.
+
+    Documents without words stay, as do components of null ids only; rows that repeat id and text stay or go together. Only rows whose
+    text passes a filter of the texts that go are joined with them.
+    """
+    spark = docs.sparkSession
+    tasks = min(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    groups = jaccard_join(docs, shingle, threshold).documents
+    away = groups.where("component_id is not null and (doc_id is null or doc_id != component_id)")
+    away = _stage.written(away.select(F.col("doc_id").alias("away_id"), "row_key").distinct(), "away")
+    wanted = _key_filter(away.select("row_key"), tasks)
+
+    @F.pandas_udf("boolean")
+    def may_go(keys: pd.Series) -> pd.Series:
+        return pd.Series(_passes(wanted.value, keys.to_numpy(np.int64)))
+
+    rows = docs.select(F.struct("*").alias("own"), F.xxhash64(F.col("text").cast("string")).alias("row_key")).withColumn("may", may_go("row_key"))
+    same = F.col("own.doc_id").cast("long").eqNullSafe(F.col("away_id"))
+    checked = rows.where("may").alias("r").join(away.alias("g"), (F.col("r.row_key") == F.col("g.row_key")) & same, "left_anti")
+    return rows.where("not may").select("own.*").unionByName(checked.select("own.*"))
+
+
+def _sets(texts: DataFrame, members: DataFrame, keys: DataFrame, n: int, tasks: int) -> DataFrame:
+    """``k, cls, body``: the sets of the classes with these keys, each once.
+
+    Of each class one text is read again, found by its hash behind a filter of fixed size; other texts are not cut into words.
+    """
+
     one = members.join(keys, "k").groupBy("cls").agg(F.min("row_key").alias("row_key")).select("row_key")
-    blocks = _bits.merge_blocks(one.mapInArrow(mark, "block int, bits binary"), tasks)
-    wanted = texts.sparkSession.sparkContext.broadcast(_bits.gathered(blocks, FILTER_BITS // 8))
+    wanted = _key_filter(one, tasks)
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            asked = _bits.get_bits(wanted.value, batch.column("row_key").to_numpy().view(np.uint64) % np.uint64(FILTER_BITS))
+            asked = _passes(wanted.value, batch.column("row_key").to_numpy())
             rows = []
             for _, own in shingle_sets(batch.column("text").filter(pa.array(asked)), n):
                 if len(own) and (cls := digest(own)) not in seen:

@@ -73,17 +73,16 @@ def _valid() -> Column:
     )
 
 
-def found_spans(docs: DataFrame, carry: str | None = None) -> DataFrame:
-    """``row, doc_id, kind, start, end, m, before, after, base``: base spans, tokens that overlap none, and one row of null kind for every document."""
-    kept = [carry] if carry else []
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *kept)
+def found_spans(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """``row, doc_id, kind, start, end, m, before, after, base``: base spans, tokens that overlap none, and one row of null kind for every document.
+
+    ``row`` names a column of ``docs`` that tells rows apart; without it they are numbered.
+    """
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    texts = docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("has_digit", F.col("text").rlike("[0-9]"))
     every = F.expr(f"concat(array(cast(null as struct<kind:string,at:int,gap:int,len:int,m:string,before:string,after:string>)), {', '.join(_matches(k) for k in PATTERNS)})")
-    rows = texts.select("row", "doc_id", *kept, F.posexplode(every).alias("nr", "x"))
-    if carry:  # the document's own columns go with one of its rows
-        rows = rows.withColumn(carry, F.when(F.col("nr") == 0, F.col(carry)))
-    rows = rows.select("row", "doc_id", *kept, "x.*")
-    rows = _stage.written(rows, "matches")
+    rows = _stage.written(texts.select("row", "doc_id", F.explode(every).alias("x")).select("row", "doc_id", "x.*"), "matches")
     upto = Window.partitionBy("row", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("end", F.sum(F.col("gap").cast("long") + F.col("len")).over(upto)).withColumn("start", F.col("end") - F.col("len"))
     placed = placed.withColumn("base", F.coalesce(_valid(), F.lit(False)))
@@ -130,20 +129,18 @@ def learned_patterns(spans: DataFrame, rounds: int = ROUNDS, support: int = LEAS
     return patterns.where(F.col("confidence") >= confidence).withColumn("nr", F.row_number().over(best)).where("nr = 1").select("pattern", "kind", "confidence")
 
 
-def extract(docs: DataFrame, carry: str | None = None) -> DataFrame:
-    """Per document ``doc_id, spans`` with ``spans array<struct<start, nr, end, kind, base>>`` in order of start, then kind as listed."""
-    spans = found_spans(docs, carry)
+def extract(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """Per document ``row, doc_id, spans`` with ``spans array<struct<start, nr, end, kind, base>>`` in order of start, then kind as listed."""
+    spans = found_spans(docs, row)
     patterns = learned_patterns(spans)
-    tokens = spans.where("kind = 'token'").withColumn("id", F.monotonically_increasing_id()).select("row", "start", "end", F.explode(_patterns()).alias("pattern"))
+    tokens = spans.where("kind = 'token'").select("row", "start", "end", F.explode(_patterns()).alias("pattern"))
     named = tokens.join(patterns, "pattern").groupBy("row", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("best"))
     added = named.select("row", "start", "end", F.col("best.kind").alias("kind"), F.lit(False).alias("base"))
     base = spans.where("kind is null or base")
-    kept = [carry] if carry else []
-    every = base.select("row", "doc_id", "kind", "start", "end", "base", *kept).unionByName(added, allowMissingColumns=True)
+    every = base.select("row", "doc_id", "kind", "start", "end", "base").unionByName(added, allowMissingColumns=True)
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     one = F.when(F.col("kind").isNotNull(), F.struct("start", rank.cast("int").alias("nr"), "end", "kind", "base"))
-    grouped = every.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sort_array(F.collect_list(one)).alias("spans"), *[F.first(c, ignorenulls=True).alias(c) for c in kept])
-    return grouped.drop("row")
+    return every.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sort_array(F.collect_list(one)).alias("spans"))
 
 
 def as_text(spans: Column) -> Column:
@@ -151,10 +148,16 @@ def as_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, mark: str = "<{}>") -> DataFrame:
-    """The rows of ``docs`` with every span in ``text`` replaced by its kind; where spans overlap, the first and what it covers."""
-    names = docs.columns
-    found = extract(docs.withColumn("__row__", F.struct(*[F.col(f"`{c}`") for c in names])), "__row__")
-    text = F.col("__row__.text")
+    """The rows of ``docs`` with every span in ``text`` replaced by its kind; where spans overlap, the first and what it covers.
+
+    Texts without a digit or an at sign can have no span and pass by; only the others are written, numbered and joined with their spans.
+    """
+    may = F.coalesce(F.col("text").cast("string").rlike("[0-9@]"), F.lit(False))
+    numbered = docs.where(may).select(F.struct("*").alias("own"), F.monotonically_increasing_id().alias("nr"))
+    numbered = _stage.written(numbered, "texts")
+    found = extract(numbered.select("nr", F.col("own.doc_id").alias("doc_id"), F.col("own.text").alias("text")), "nr").where(F.size("spans") > 0).select(F.col("row").alias("nr"), "spans")
+    joined = numbered.join(_stage.written(found, "found"), "nr", "left")
+    text = F.col("own.text")
     pieces = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
@@ -163,5 +166,6 @@ def redact(docs: DataFrame, mark: str = "<{}>") -> DataFrame:
         ),
         lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.lit(2147483647))),
     )
-    clean = F.when(F.size("spans") == 0, text).otherwise(pieces)
-    return found.select(*[clean.alias(c) if c == "text" else F.col(f"__row__.`{c}`").alias(c) for c in names])
+    clean = F.when(F.col("spans").isNull(), text).otherwise(pieces)
+    changed = joined.select(*[clean.alias(c) if c == "text" else F.col(f"own.`{c}`").alias(c) for c in docs.columns])
+    return docs.where(~may).unionByName(changed)
