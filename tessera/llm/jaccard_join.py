@@ -221,6 +221,16 @@ def _least_shared(n1, n2, num: int, den: int):
     return F.ceil(num * (n1 + n2) / (num + den)) - F.ceil(num * F.greatest(n1, n2) / den) + 1
 
 
+def _least_shared_of_any(least, least_larger, largest, num: int, den: int):
+    """The minimum of ``_least_shared`` over the pairs that can link with a smaller set of ``least`` or more and a larger one of ``least_larger`` to ``largest``.
+
+    It does not fall steadily as the larger set grows: its ceilings make it rise by one and fall again. Without them it falls by one over
+    den (num + den) / num^2 sizes, so only that many of the largest can hold the minimum.
+    """
+    sizes = [F.greatest(least_larger, largest - j) for j in range(-(-den * (num + den) // num**2) + 1)]
+    return F.least(*[_least_shared(F.greatest(least, F.ceil(num * n / den)), n, num, den) for n in sizes])
+
+
 def _required(a: int, b: int, num: int, den: int) -> int:
     return -(-num * (a + b) // (num + den))
 
@@ -399,8 +409,7 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int,
     clusters = _stage.written(named.select("cluster", "k").distinct(), "clusters")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
     met = met.join(sizes.select(F.col("cluster").alias("a"), F.col("size").alias("a_size")), "a").join(sizes.select(F.col("cluster").alias("b"), F.col("size").alias("b_size")), "b")
-    big = F.greatest("am", "bm")  # of the sizes met, the pair that asks for least: the smallest that can link with the largest
-    asked = _least_shared(F.greatest(F.least("an", "bn"), F.ceil(num * big / den)), big, num, den)
+    asked = _least_shared_of_any(F.least("an", "bn"), F.greatest("an", "bn"), F.greatest("am", "bm"), num, den)
     beyond = F.least(F.col("an") - F.col("a_at"), F.col("bn") - F.col("b_at")) - 1  # shingles after the last shared one
     overlap = F.ceil(num * (F.col("an") + F.col("bn")) / (num + den))
     grown = (F.col("a_size") > 1) | (F.col("b_size") > 1)

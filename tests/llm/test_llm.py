@@ -58,6 +58,30 @@ def test_jaccard_join_of_repeated_rows_null_ids_and_nothing(spark):
     assert jaccard_join.jaccard_join(_empty(spark)).documents.count() == 0
 
 
+def test_jaccard_join_of_clusters_whose_sizes_differ(spark):
+    """x-y and x-z link, y-z does not: whichever of the three is matched first, the rest must be found through the other's size."""
+    rows = []
+    for k in range(120):
+        x = [f"v{k}x{i}" for i in range(11)]
+        rows += [(3 * k, " ".join(x)), (3 * k + 1, " ".join(["other", *x[1:]])), (3 * k + 2, " ".join(["front", *x]))]
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).documents.collect()}
+    assert found == brute.components(rows) and len({c for _, c in found.values()}) == 120
+
+
+@pytest.mark.parametrize(("num", "den"), [(75, 100), (3, 5), (9, 10)])
+def test_least_shared_of_any_is_the_minimum(spark, num, den):
+    up = lambda a, b: -(-a // b)
+    rng, cases = random.Random(8), []
+    while len(cases) < 400:
+        a, b = sorted((rng.randint(1, 90), rng.randint(1, 90)))
+        c = b + rng.randint(0, 30)
+        pairs = [(m, n) for n in range(b, c + 1) for m in range(a, n + 1) if m * den >= n * num]
+        if pairs:
+            cases.append((a, b, c, min(up(num * (m + n), num + den) - up(num * n, den) + 1 for m, n in pairs)))
+    frame = spark.createDataFrame(cases, "a long, b long, c long, expected long")
+    assert not frame.where(jaccard_join._least_shared_of_any(F.col("a"), F.col("b"), F.col("c"), num, den) != F.col("expected")).take(3)
+
+
 def test_divide_skip_equals_counting():
     import numpy as np
 
