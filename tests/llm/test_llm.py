@@ -157,6 +157,23 @@ def test_lm_scores(spark, docs, plain):
     assert lm_bloom.score_documents(_empty(spark)).count() == 0
 
 
+def test_lm_keeps_all_words_and_pairs_at_any_size_of_a_pass(spark):
+    import numpy as np
+
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"u{rng.randint(0, 900)}" for _ in range(30))) for i in range(150)]
+    rows = spark.createDataFrame([*rows, (150, None), (151, "")], "doc_id long, text string")
+    own = lambda **bits: {r["doc_id"]: r["score"] for r in lm_bloom.score_documents(rows, **bits).collect()}
+    whole, small = own(), own(word_bits=10_000, pair_bits=10_000)
+    model, _ = lm_bloom.train(rows, word_bits=10_000, pair_bits=10_000)
+    assert len(model.words.groups) > 1 and len(model.pairs.groups) > 1 and len(whole) == 152
+    assert small == pytest.approx(whole, rel=1e-9)
+    once = np.random.default_rng(1).integers(0, 1 << 40, 300_000).astype(np.uint64)
+    bits, least = lm_bloom.build_part(once, np.ones(len(once), dtype=np.int64), 1)
+    assert least == 1 and len(bits) == 300_000
+    assert lm_bloom.train(spark.createDataFrame([(1, "one two three")], "doc_id long, text string"))[0].pairs.table.first()["least"] == 1
+
+
 def test_filter_counts_are_near():
     import numpy as np
 
