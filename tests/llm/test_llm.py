@@ -174,6 +174,21 @@ def test_lm_keeps_all_words_and_pairs_at_any_size_of_a_pass(spark):
     assert lm_bloom.train(spark.createDataFrame([(1, "one two three")], "doc_id long, text string"))[0].pairs.table.first()["least"] == 1
 
 
+def test_pair_counts_beyond_two_bytes_are_whole():
+    import numpy as np
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["spam " * 300_000, "ham " * 65_536, "one two"])})
+    table = pa.Table.from_batches(list(lm_bloom._counted([batch])))
+    parts = {}
+    for b in range(lm_bloom.BUCKETS):
+        own = lm_bloom._pair_part(table.filter(pa.compute.equal(table["bucket"], b)))
+        parts[b] = (own["bits"][0].as_py(), own["least"][0].as_py())
+    own, begins = lm_bloom.tokens(next(iter(lm_bloom._text.blocks(pa.array(["spam spam", "ham ham", "one two"]), lm_bloom._text.SPACED))))
+    keys = lm_bloom.pairs(own, begins)[0][begins[:-1] + 1] & np.uint64((1 << 48) - 1)
+    assert np.abs(np.log2(lm_bloom.LogFrequencyFilter(parts).counts(keys) / np.array([299_999, 65_535, 1]))).max() <= 0.26
+
+
 def test_filter_counts_are_near():
     import numpy as np
 
