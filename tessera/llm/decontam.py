@@ -175,7 +175,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *kept)
     windows = _stage.written(benchmark_windows(benchmark, window, shingle), "windows")
     blocks = max(1, -(-windows.count() // block_windows))
-    extra = "".join(f", {c} {texts.schema[c].dataType.simpleString()}" for c in kept)
     now = texts.withColumns({"item_ids": F.lit(None).cast("array<string>"), "spans": F.lit(None).cast("array<struct<start:int,end:int>>")})
     for b in range(blocks):
         own = windows.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == b).collect()
@@ -186,7 +185,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         counts = {(r[0], r[1]): r[2] for r in shingle_counts(texts.select("text"), wanted).collect()} if wanted else {}
         index = spark.sparkContext.broadcast(PrefixIndex(own, counts))
         more = b < blocks - 1
-        now = now.mapInArrow(_scan(index, carry, more), _RESULT + extra + ", text string" * more)
+        fields = [texts.schema[c] for c in [*kept, *["text"] * more]]  # as they are: a DDL text would need its names quoted
+        now = now.mapInArrow(_scan(index, carry, more), T.StructType([*T.DataType.fromDDL(_RESULT).fields, *fields]))
         if more:
             now = _stage.written(now, "scanned")
     return now.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).withColumn("item_ids", F.coalesce("item_ids", F.array().cast(T.ArrayType(T.StringType()))))
