@@ -15,7 +15,7 @@ _MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3
 
 
 class Indicators:
-    """Distinct hashed n-grams of texts; ``sizes`` in characters (a text is taken with a line feed on either side)."""
+    """Distinct hashed runs of texts; ``sizes`` in characters (a text is taken with a line feed on either side)."""
 
     def __init__(self, sizes: tuple[int, ...], bits: int):
         self.sizes, self.bits = sizes, bits

@@ -108,7 +108,7 @@ def blocks(column: pa.Array, kind: np.ndarray, lower: bool = True, limit: int =
         a = b
 
 
-def grams(words: np.ndarray, n: int) -> np.ndarray:
+def runs(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n words from each place on (those that run past the end are left out)."""
     m = len(words) - n + 1
     if m <= 0:

@@ -43,7 +43,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, shingle: int =
                     k = min(shingle, n)
                     for s in range(a, b - n + 1 if n else a):
                         text = b" ".join(block.data[i:j].tobytes() for i, j in zip(block.starts[s : s + n], block.ends[s : s + n], strict=True))
-                        rows.append((ids[block.offset + r], n, text, hashes[s : s + n].tobytes(), k, _text.grams(hashes[s : s + n], k).view(np.int64).tolist()))
+                        rows.append((ids[block.offset + r], n, text, hashes[s : s + n].tobytes(), k, _text.runs(hashes[s : s + n], k).view(np.int64).tolist()))
             columns = zip(*rows, strict=True) if rows else [[]] * 6
             kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)], ["item_id", "n", "words", "hashes", "shingle_n", "shingles"])
@@ -61,7 +61,7 @@ def shingle_counts(docs: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
             for block in _text.blocks(batch.column("text"), _text.ALNUM):
                 hashes, row = block.hashes(), block.row_of_word()
                 for k, sought in wanted.items():
-                    g = _text.grams(hashes, k)
+                    g = _text.runs(hashes, k)
                     g = g[row[: len(g)] == row[k - 1 :][: len(g)]]
                     at = np.searchsorted(sought, g)
                     at[at == len(sought)] = 0
@@ -97,7 +97,7 @@ class PrefixIndex:
         row = block.row_of_word()
         found_at, found = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for k, (keys, first, windows, offsets) in self.prefixes.items():
-            g = _text.grams(hashes, k)
+            g = _text.runs(hashes, k)
             at = np.searchsorted(keys, g)
             at[at == len(keys)] = 0
             places = np.flatnonzero(keys[at] == g)

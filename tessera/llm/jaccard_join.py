@@ -2,16 +2,18 @@
 
 A document's set holds the hashes of its distinct 5-word shingles. Documents with equal sets form a class, and classes are joined:
 
-1. One pass counts shingles in a fixed number of slots and digests each set. Shingles are ordered by how frequent their slot is,
-   then by hash, so shared passages come last.
-2. In that order two sets that are similar enough share a shingle among the first |x| - ceil(t|x|) + 1. Only these are dealt out,
-   by shingle; where a shingle has two classes or more it gives an inverted list.
-3. Every class is matched with the smallest class of the lists it is in (the one it meets in most lists), and DivideSkip says
-   which of these reach the required overlap: short lists are heap-merged, the longest are probed by binary search.
-4. The links found make clusters (a class and what it was matched with) and components. Clusters that share lists but not
-   yet a component go through a second round: the members of the smaller are queries against blocks of the larger, again by DivideSkip. Two
-   single classes are left out if they share fewer lists than a link of their sizes must. Pairs in one component need no
-   further link, so the components are those of all links, and at no time is there a row for each pair of a group.
+1. One pass counts shingles in slots and digests each set. Shingles are ordered by how frequent their slot is, then by hash, so
+   shared passages come last.
+2. In that order two sets that are similar enough share a shingle among the first |x| - ceil(t|x|) + 1, and more than one if their
+   sizes are alike. Only these prefixes are dealt out, by shingle; where a shingle has two classes or more it gives an inverted list.
+   Classes that share so many short lists (up to SHORT classes) as a link of their sizes must are neighbours; in a long list every class is a
+   neighbour of the list's smallest. Classes that neighbours connect form a family: every link lies within one.
+3. Families are searched for links, each by DivideSkip over the whole sets of its members: a query's short lists are heap-merged,
+   its longest are probed by binary search, and members that reach the overlap the threshold asks for are kept. A family up to TILE shingles is
+   one tile, all against all. A larger one is first asked for the links of its most connected class; only the members that do not link with it
+   are then queries, in tiles of a block of queries and a block of members.
+4. A tile returns a spanning forest of the links it found, so never more rows than members; pairs that links already connect need
+   no check. Components of these links are those of all links. At no time is there a row for each pair of a group.
 
 Defined results: a null or empty text has an empty set and links with nothing; texts of fewer words than a shingle are one shingle;
 repeated rows have equal sets and so one component; a null id takes part, but is no component's name (a component of null ids
@@ -21,7 +23,6 @@ only has null); other columns are ignored.
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 from math import log
@@ -38,11 +39,15 @@ SHINGLE = 5
 THRESHOLD = (75, 100)
 #: Slots for shingle counts: SLOTS_A_DOCUMENT for each, within these bounds (only the order of shingles depends on them, never the result).
 SLOTS_A_DOCUMENT = 64
-SLOTS = (1 << 16, 1 << 24)
+SLOTS = (1 << 16, 1 << 22)
 SLOT_BLOCK = 1 << 14
-#: Prefix entries of a bucket on average, and followers of a query in one group.
+#: Prefix entries of a bucket on average; a shingle whose slot may hold more than LIST_ENTRIES is dealt over several buckets.
 BUCKET_ENTRIES = 400_000
-GROUP = 256
+LIST_ENTRIES = 10_000
+#: Classes of a list whose pairs are counted in place; longer lists make families.
+SHORT = 64
+#: Shingles of one side of a tile.
+TILE = 1 << 18
 #: Bits of the filter that keeps the sets of classes with a partner; a fuller filter lets through more sets, nothing else.
 FILTER_BITS = 1 << 26
 
@@ -51,10 +56,10 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """Row number and sorted distinct shingle hashes of every row."""
     for block in _text.blocks(column, _text.SPACED):
         hashes = block.hashes()
-        all_grams = _text.grams(hashes, n)
+        every = _text.runs(hashes, n)
         for r in range(len(block)):
             a, b = int(block.first[r]), int(block.first[r + 1])
-            own = all_grams[a : b - n + 1] if b - a >= n else _text.grams(hashes[a:b], b - a) if b > a else hashes[:0]
+            own = every[a : b - n + 1] if b - a >= n else _text.runs(hashes[a:b], b - a) if b > a else hashes[:0]
             yield block.offset + r, np.unique(own)
 
 
@@ -131,12 +136,16 @@ def _slot_sums(surveyed: DataFrame, n_slots: int, tasks: int) -> np.ndarray:
 
 
 def frequency_levels(slots: np.ndarray) -> np.ndarray:
-    """0 for slots up to twice the mean count, then one level for each doubling."""
+    """0 for slots within four standard deviations of the mean count, then one level for each doubling of what is over the mean."""
     mean = max(1.0, float(slots.mean()))
-    out = np.zeros(len(slots), dtype=np.uint8)
-    some = np.flatnonzero(slots >= 2 * mean)
-    out[some] = np.minimum(np.log2(slots[some] / mean), 63).astype(np.uint8)
-    return out
+    return np.minimum(np.log2(np.maximum(1.0, (slots - mean) / (2 * mean**0.5))), 63).astype(np.uint8)
+
+
+def buckets_by_level(slots: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Over how many buckets, as a power of two, a shingle of each level is dealt: one unless a slot of that level counts more than LIST_ENTRIES."""
+    most = np.ones(64)
+    np.maximum.at(most, levels, slots)
+    return np.uint64(1) << np.ceil(np.log2(np.maximum(1.0, most / LIST_ENTRIES))).astype(np.uint64)
 
 
 def levels_of(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -153,21 +162,21 @@ def prefix(own: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarra
 _POSTING = np.dtype([("h", "<u8"), ("k", "<i8"), ("n", "<u4"), ("at", "<u4")])
 
 
-def _postings(levels, n: int, num: int, den: int, buckets: int):
-    """Prefix shingles by bucket. A shingle of a frequent slot is dealt over several buckets, by class."""
+def _postings(order, n: int, num: int, den: int, buckets: int):
+    """Prefix shingles by bucket. A shingle of a very frequent slot is dealt over several buckets, by class."""
 
     def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, spreads = order.value
         seen: set[int] = set()
         hold: list[np.ndarray] = []
         held = 0
 
         def flush():
             rows = np.concatenate(hold)
-            level = levels_of(rows["h"], levels.value)
-            spread = np.minimum(np.uint64(1) << np.minimum(level, np.uint64(16)), np.uint64(buckets))
+            spread = np.minimum(spreads[levels_of(rows["h"], levels).astype(np.int64)], np.uint64(buckets))
             part = (rows["h"] + (rows["k"].view(np.uint64) % spread)) % np.uint64(buckets)
-            order = np.argsort(part, kind="stable")
-            rows, part = rows[order], part[order]
+            by_part = np.argsort(part, kind="stable")
+            rows, part = rows[by_part], part[by_part]
             cuts = np.append(np.flatnonzero(np.diff(part, prepend=part[0] + np.uint64(1))), len(rows))
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(part[cuts[:-1]].astype(np.int64)), "body": pa.array([rows[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
@@ -176,7 +185,7 @@ def _postings(levels, n: int, num: int, den: int, buckets: int):
                 if not len(own) or (k := key_of(digest(own))) in seen:
                     continue
                 seen.add(k)
-                first = prefix(own, levels.value, num, den)
+                first = prefix(own, levels, num, den)
                 rows = np.empty(len(first), dtype=_POSTING)
                 rows["h"], rows["k"], rows["n"], rows["at"] = first, k, len(own), np.arange(len(first))
                 hold.append(rows)
@@ -190,24 +199,47 @@ def _postings(levels, n: int, num: int, den: int, buckets: int):
     return post
 
 
-def _lists(levels):
-    """A bucket's inverted lists of two classes or more (for shingles dealt over several buckets: any), as rows ``h, k, n, at, lead, lead_n``.
+_LISTS = "h long, a long, an long, b long, bn long, shared long"
+
 
-    ``at`` is the shingle's place in the class's own order.
+def _lists(order, num: int, den: int, short: int):
+    """What a bucket's inverted lists say: pairs of classes with the number of short lists they share, and the entries ``h, a, an`` of long lists.
+
+    Lists that may go on in another bucket count as long. Pairs are left out whose sizes, or whose places in a list, rule a link out.
     """
 
     def lists(table: pa.Table) -> pa.Table:
+        levels, spreads = order.value
         rows = np.frombuffer(b"".join(table.column("body").to_pylist()), dtype=_POSTING)
         rows = rows[np.lexsort((rows["k"], rows["h"]))]
         rows = rows[np.append(True, (rows["h"][1:] != rows["h"][:-1]) | (rows["k"][1:] != rows["k"][:-1]))]
-        first = np.flatnonzero(np.diff(rows["h"], prepend=rows["h"][0] + np.uint64(1)))
+        first = np.flatnonzero(np.append(True, rows["h"][1:] != rows["h"][:-1]))
         sizes = np.diff(np.append(first, len(rows)))
-        dealt = levels_of(rows["h"][first], levels.value) > 0
-        keep = np.repeat((sizes > 1) | dealt, sizes)
-        lead = np.repeat(rows["k"][first], sizes)[keep]  # rows of a list are in order of class
-        lead_n = np.repeat(rows["n"][first], sizes)[keep].astype(np.int64)
-        rows = rows[keep]
-        return pa.table({"h": np.ascontiguousarray(rows["h"]).view(np.int64), "k": np.ascontiguousarray(rows["k"]), "n": rows["n"].astype(np.int64), "at": rows["at"].astype(np.int64), "lead": lead, "lead_n": lead_n})
+        long = (sizes > short) | (spreads[levels_of(rows["h"][first], levels).astype(np.int64)] > 1)
+        left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for m in np.unique(sizes[~long & (sizes > 1)]).tolist():
+            begins = first[~long & (sizes == m)][:, None]
+            x, y = np.triu_indices(m, 1)
+            left.append((begins + x).ravel())
+            right.append((begins + y).ravel())
+        a, b = rows[np.concatenate(left)], rows[np.concatenate(right)]
+        an, bn, at, bt = (v.astype(np.int64) for v in (a["n"], b["n"], a["at"], b["at"]))
+        room = np.minimum(at, bt) + np.minimum(an - at, bn - bt)
+        fits = (np.minimum(an, bn) * den >= np.maximum(an, bn) * num) & (room * (num + den) >= num * (an + bn))
+        a, b = a[fits], b[fits]
+        by_pair = np.lexsort((b["k"], a["k"]))
+        a, b = a[by_pair], b[by_pair]
+        begins = np.flatnonzero(np.append(len(a) > 0, (a["k"][1:] != a["k"][:-1]) | (b["k"][1:] != b["k"][:-1])))
+        shared = np.diff(np.append(begins, len(a)))
+        a, b = a[begins], b[begins]
+        entries = rows[np.repeat(long, sizes)]
+        none = pa.nulls(len(entries), pa.int64())
+        of = lambda pairs, more: pa.chunked_array([pa.array(np.ascontiguousarray(pairs).astype(np.int64)), more])
+        columns = [of(np.zeros(0), pa.nulls(0, pa.int64()))] * 6
+        columns[0] = pa.chunked_array([pa.nulls(len(a), pa.int64()), pa.array(np.ascontiguousarray(entries["h"]).view(np.int64))])
+        columns[1], columns[2] = of(a["k"], pa.array(np.ascontiguousarray(entries["k"]))), of(a["n"], pa.array(entries["n"].astype(np.int64)))
+        columns[3], columns[4], columns[5] = of(b["k"], none), of(b["n"], none), of(shared, none)
+        return pa.Table.from_arrays(columns, names=["h", "a", "an", "b", "bn", "shared"])
 
     return lists
 
@@ -221,117 +253,117 @@ def _least_shared(n1, n2, num: int, den: int):
     return F.ceil(num * (n1 + n2) / (num + den)) - F.ceil(num * F.greatest(n1, n2) / den) + 1
 
 
-def _least_shared_of_any(least, least_larger, largest, num: int, den: int):
-    """The minimum of ``_least_shared`` over the pairs that can link with a smaller set of ``least`` or more and a larger one of ``least_larger`` to ``largest``.
-
-    It does not fall steadily as the larger set grows: its ceilings make it rise by one and fall again. Without them it falls by one over
-    den (num + den) / num^2 sizes, so only that many of the largest can hold the minimum.
-    """
-    sizes = [F.greatest(least_larger, largest - j) for j in range(-(-den * (num + den) // num**2) + 1)]
-    return F.least(*[_least_shared(F.greatest(least, F.ceil(num * n / den)), n, num, den) for n in sizes])
-
-
-def _required(a: int, b: int, num: int, den: int) -> int:
+def _required(a, b, num: int, den: int):
     return -(-num * (a + b) // (num + den))
 
 
 class InvertedIndex:
-    """Inverted lists over some sets: for every shingle the numbers of the sets that hold it, ascending."""
+    """Inverted lists over some sets, numbered by ascending size: for every shingle the numbers of the sets that hold it, ascending."""
 
     def __init__(self, sets: list[np.ndarray]):
-        self.sizes = [len(x) for x in sets]
+        self.sizes = np.array([len(x) for x in sets])
         tokens = np.concatenate(sets)
         whose = np.repeat(np.arange(len(sets)), self.sizes)
-        order = np.argsort(tokens, kind="stable")
-        tokens, self.whose = tokens[order], whose[order]
+        by_token = np.argsort(tokens, kind="stable")
+        tokens, self.whose = tokens[by_token], whose[by_token]
         self.first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
         self.tokens, self.last = tokens[self.first], np.append(self.first[1:], len(tokens))
 
-    def lists(self, query: np.ndarray) -> list[list[int]]:
-        """The lists of the query's shingles, short ones first."""
+    def most_connected(self) -> int:
+        """The set whose lists are the longest in sum."""
+        lengths = self.last - self.first
+        return int(np.argmax(np.bincount(self.whose, weights=np.repeat(lengths, lengths))))
+
+    def lists(self, query: np.ndarray, low: int, high: int) -> list[np.ndarray]:
+        """The lists of the query's shingles, cut to sets ``low`` to ``high`` (exclusive) and without empty ones, short ones first."""
         at = np.searchsorted(self.tokens, query)
         at[at == len(self.tokens)] = 0
         at = at[self.tokens[at] == query]
-        at = at[np.argsort(self.last[at] - self.first[at], kind="stable")]
-        return [self.whose[a:b].tolist() for a, b in zip(self.first[at], self.last[at], strict=True)]
+        every = [self.whose[a:b] for a, b in zip(self.first[at], self.last[at], strict=True)]
+        if low > 0 or high < len(self.sizes):
+            every = [x[np.searchsorted(x, low) : np.searchsorted(x, high)] for x in every]
+        return sorted((x for x in every if len(x)), key=len)
 
 
 def divide_skip(query: np.ndarray, index: InvertedIndex, num: int, den: int) -> list[tuple[int, int]]:
     """Which indexed sets reach the overlap with ``query`` that the threshold asks for, and their overlaps.
 
-    With T the least overlap asked of any, the L longest lists are set aside: a set that is on T lists is on T - L of the others.
+    Only sets whose size allows it are looked at. With T the least overlap asked of any, the L longest lists are set aside: a set that is on T
+    lists is on T - L of the others. These are heap-merged; what reaches T - L there is looked up in the long lists by binary search,
+    for as long as it can still reach its own overlap.
     """
-    need = [_required(len(query), n, num, den) for n in index.sizes]
-    least = min(need)
-    inverted = index.lists(query)
+    n = len(query)
+    low, high = np.searchsorted(index.sizes, -(-num * n // den)), np.searchsorted(index.sizes, den * n // num, side="right")
+    if low >= high:
+        return []
+    least = int(_required(n, int(index.sizes[low]), num, den))
+    inverted = index.lists(query, low, high)
     if len(inverted) < least:
         return []
     aside = min(least - 1, int(least / (0.01 * log(max(2, len(inverted[-1]))) + 1)))
     short, long_lists = inverted[: len(inverted) - aside], inverted[len(inverted) - aside :]
-    out, now, count = [], -1, 0
-
-    def settle() -> None:
-        if now < 0 or count < least - aside or count + len(long_lists) < need[now]:
-            return
-        total = count
-        for left, one in zip(range(len(long_lists), 0, -1), long_lists, strict=True):
-            if total + left < need[now]:
-                return
-            i = bisect_left(one, now)
-            total += i < len(one) and one[i] == now
-        if total >= need[now]:
-            out.append((now, total))
-
-    for j in heapq.merge(*short):
-        if j != now:
-            settle()
-            now, count = j, 0
-        count += 1
-    settle()
-    return out
+    merged = np.fromiter(heapq.merge(*(x.tolist() for x in short)), dtype=np.int64)
+    found, count = np.unique(merged, return_counts=True)
+    need = _required(n, index.sizes[found], num, den)
+    for left, one in zip(range(aside, 0, -1), long_lists, strict=True):
+        alive = count + left >= need
+        found, count, need = found[alive], count[alive], need[alive]
+        if not len(found):
+            return []
+        at = np.searchsorted(one, found)
+        count = count + (one[np.minimum(at, len(one) - 1)] == found)
+    return [(j, c) for j, c, t in zip(found.tolist(), count.tolist(), need.tolist(), strict=True) if c >= t]
 
 
-def _verified(num: int, den: int):
-    def verify(table: pa.Table) -> pa.Table:
-        roles, keys, bodies = table.column("role").to_pylist(), table.column("k").to_pylist(), table.column("body").to_pylist()
-        sets = [np.frombuffer(b, dtype=np.uint64) for b in bodies]
-        indexed = [i for i, role in enumerate(roles) if role == 1]
-        queries = [i for i, role in enumerate(roles) if role == 0]
-        links: set[tuple[int, int]] = set()
-        if indexed and queries:
-            index = InvertedIndex([sets[i] for i in indexed])
-            for q in queries:
-                links.update((keys[q], keys[indexed[j]]) for j, _ in divide_skip(sets[q], index, num, den))
-        a, b = zip(*sorted(links), strict=True) if links else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+class _Forest:
+    """Which keys links connect so far."""
 
-    return verify
+    def __init__(self):
+        self.above: dict[int, int] = {}
 
+    def root(self, k: int) -> int:
+        while (up := self.above.get(k, k)) != k:
+            self.above[k] = self.above.get(up, up)
+            k = up
+        return k
 
-def _star_links(followers: DataFrame, leads: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``a, b``: which followers (cluster, k) link with the lead of their cluster."""
-    blocks = _stage.written(followers.groupBy("cluster").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks")), "blocks")
-    queries = leads.join(blocks, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), "k")
-    indexed = followers.join(blocks, "cluster").select("cluster", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), "k")
-    rows = _stage.written(queries.unionByName(indexed), "dealt")
-    return rows.join(sets.select("k", "body"), "k").groupBy("cluster", "block").applyInArrow(_verified(num, den), "a long, b long")
+    def join(self, a: int, b: int) -> bool:
+        """Whether the link connects what was apart; the smaller root stays."""
+        a, b = sorted((self.root(a), self.root(b)))
+        self.above[b] = a
+        return a != b
 
 
-def _links(clusters: DataFrame, pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``a, b``: the links between members of paired clusters. ``clusters``: cluster, k; ``pairs``: a (indexed cluster), b (querying cluster).
+#: In a tile: member that is searched, query, or both.
+MEMBER, QUERY, BOTH = 0, 1, 2
 
-    A tile is a block of about GROUP members of an indexed cluster with about GROUP of all classes that query it, so no tile grows
-    with a group, and a class travels once for each block of the other side.
+
+def _searched(num: int, den: int):
+    """A tile's links as a spanning forest. Members that share a ``label`` are known to be connected.
+
+    Where members are queries too, the most connected one asks first; what its component holds need not ask, as all others do.
     """
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))
-    asking = _stage.written(pairs.join(clusters, pairs["b"] == clusters["cluster"]).select("a", "k").distinct(), "asking")
-    parts = asking.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    tiles = _stage.written(parts.join(sizes, parts["a"] == sizes["cluster"]).select("a", "parts", "blocks"), "tiles")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    queries = asking.join(tiles, "a").select("a", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int").alias("part"), every("blocks").alias("block"), F.lit(0).alias("role"), "k")
-    indexed = clusters.join(tiles, clusters["cluster"] == tiles["a"]).select("a", every("parts").alias("part"), F.pmod(F.xxhash64("k", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), "k")
-    rows = _stage.written(queries.unionByName(indexed), "dealt")
-    return rows.join(sets.select("k", "body"), "k").groupBy("a", "part", "block").applyInArrow(_verified(num, den), "a long, b long")
+
+    def search(table: pa.Table) -> pa.Table:
+        rows = [(r, k, label, np.frombuffer(body, dtype=np.uint64)) for r, k, label, body in zip(*(table.column(c).to_pylist() for c in ("role", "k", "label", "body")), strict=True)]
+        members = sorted((r for r in rows if r[0] != QUERY), key=lambda r: (len(r[3]), r[1]))
+        queries = sorted((r for r in rows if r[0] != MEMBER), key=lambda r: (len(r[3]), r[1]))
+        links, forest = [], _Forest()
+        for _, k, label, _ in rows:
+            forest.join(k, label)
+        if members and queries:
+            index = InvertedIndex([own for *_, own in members])
+            main = members[index.most_connected()][1] if queries[0][0] == BOTH else None
+            for _, q, _, own in sorted(queries, key=lambda r: r[1] != main):
+                if main not in (None, q) and forest.root(q) == forest.root(main):
+                    continue
+                for j, _ in divide_skip(own, index, num, den):
+                    if forest.join(q, members[j][1]):
+                        links.append((q, members[j][1]))
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return search
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -353,86 +385,86 @@ def components(links: DataFrame) -> DataFrame:
 
 
 class JaccardJoin:
-    """``documents``: doc_id, n_shingles, component_id, row_key (hash of the text). ``links``: the verified links (a, b) between class keys.
-    ``members``: doc_id, row_key, n_shingles, cls, k."""
+    """``documents``: doc_id, n_shingles, component_id, row_key (hash of the text). ``links``: verified links (a, b) between class keys that
+    connect every component. ``members``: doc_id, row_key, n_shingles, cls, k."""
 
     def __init__(self, documents: DataFrame, links: DataFrame, members: DataFrame):
         self.documents, self.links, self.members = documents, links, members
 
 
-def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> JaccardJoin:
-    """Links between documents whose shingle sets' intersection is at least ``threshold`` of their union, as classes and components."""
+def _families(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """``k, n, weight, family``: the classes that may have links, how many lists each is known to share, and the smallest class of its family."""
+    counted = lists.where("h is null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("an").alias("an"), F.first("bn").alias("bn"))
+    near = _stage.written(counted.where(F.col("shared") >= _least_shared(F.col("an"), F.col("bn"), num, den)), "near")
+    entries = lists.where("h is not null").select("h", F.col("a").alias("k"), F.col("an").alias("n"))
+    tops = entries.groupBy("h").agg(F.min("k").alias("top"), F.max("k").alias("last")).where("top < last").select("h", "top")
+    entries = _stage.written(entries.join(tops, "h"), "long")
+    edges = near.select("a", "b").unionByName(entries.where("k != top").select(F.col("top").alias("a"), F.col("k").alias("b")))
+    weights = near.select(F.col("a").alias("k"), F.col("an").alias("n"), "shared").unionByName(near.select(F.col("b").alias("k"), F.col("bn").alias("n"), "shared")).unionByName(entries.select("k", "n", F.lit(1).cast("long").alias("shared")))
+    weights = weights.groupBy("k").agg(F.first("n").alias("n"), F.sum("shared").alias("weight"))
+    return _stage.written(weights.join(components(edges), "k").withColumnRenamed("label", "family"), "families")
+
+
+def _search(families: DataFrame, sets: DataFrame, num: int, den: int, tile: int) -> DataFrame:
+    """``a, b``: links that connect every component of every family."""
+    by_family = families.groupBy("family").agg(F.ceil(F.sum("n") / tile).cast("int").alias("blocks"), F.max(F.struct("weight", (-F.col("k")).alias("neg"))).alias("m"))
+    by_family = _stage.written(by_family.select("family", "blocks", (-F.col("m.neg")).alias("main")), "sizes")
+
+    def found(tiles: DataFrame, *by: str) -> DataFrame:
+        rows = tiles.join(sets, "k").select(*by, "role", "k", "label", "body")
+        return _stage.written(rows.groupBy(*by).applyInArrow(_searched(num, den), "a long, b long"), "links")
+
+    small = families.join(by_family.where("blocks = 1"), "family").select("family", F.lit(BOTH).alias("role"), "k", F.col("k").alias("label"))
+    links = found(small, "family")
+    large = by_family.where("blocks > 1")
+    if not large.take(1):
+        return links
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda salt, n: F.pmod(F.xxhash64("k", F.lit(salt)), F.col(n)).cast("int")
+    members = _stage.written(families.join(large, "family").select("family", "k", "n", "blocks", "main", dealt(1, "blocks").alias("block")), "large")
+    asked = large.select("family", every("blocks").alias("block"), F.lit(QUERY).alias("role"), F.col("main").alias("k"), F.col("main").alias("label"))
+    star = found(members.where("k != main").select("family", "block", F.lit(MEMBER).alias("role"), "k", F.col("k").alias("label")).unionByName(asked), "family", "block")
+    # a link of the main class, found from either side, puts a member into the main class's component
+    linked = star.select("a").union(star.select("b")).distinct().withColumnRenamed("a", "linked")
+    known = members.join(linked, members["k"] == linked["linked"], "left").withColumn("label", F.when(F.col("linked").isNotNull(), F.col("main")).otherwise(F.col("k")))
+    known = _stage.written(known.drop("linked"), "known")
+    rest = known.where("label != main and k != main")
+    parts = _stage.written(rest.groupBy("family").agg(F.ceil(F.sum("n") / tile).cast("int").alias("parts")), "parts")
+    queries = rest.join(parts, "family").select("family", dealt(2, "parts").alias("part"), every("blocks").alias("block"), F.lit(QUERY).alias("role"), "k", "label")
+    searched = known.join(parts, "family").select("family", every("parts").alias("part"), "block", F.lit(MEMBER).alias("role"), "k", "label")
+    return links.unionByName(star).unionByName(found(queries.unionByName(searched), "family", "part", "block"))
+
+
+def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, short: int = SHORT, tile: int = TILE) -> JaccardJoin:
+    """Links between documents whose shingle sets' intersection is at least ``threshold`` of their union, as classes and components.
+
+    ``short`` and ``tile`` say how the work is cut, never what is found.
+    """
     num, den = threshold
     spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = _stage.columns_of(docs, doc_id="long", text="string").withColumn("row_key", F.xxhash64("text"))
     n_slots = slots_for(texts.count())
     surveyed = _stage.written(texts.mapInArrow(_survey(shingle, n_slots), _SURVEY), "survey")
     members = surveyed.where("block is null").select("doc_id", "row_key", "n_shingles", "cls", "k")
-    levels = spark.sparkContext.broadcast(frequency_levels(_slot_sums(surveyed, n_slots, min(64, tasks))))
+    slots = _slot_sums(surveyed, n_slots, tasks)
+    levels = frequency_levels(slots)
+    order = spark.sparkContext.broadcast((levels, buckets_by_level(slots, levels)))
     total = surveyed.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(256, -(-total * (den - num) // den // BUCKET_ENTRIES))
-    body = texts.select("text").mapInArrow(_postings(levels, shingle, num, den, buckets), "bucket long, body binary")
-    lists = _stage.written(body.groupBy("bucket").applyInArrow(_lists(levels), "h long, k long, n long, at long, lead long, lead_n long"), "lists")
-
-    tops = lists.groupBy("h").agg(F.min("lead").alias("top"), F.max("lead").alias("last"), F.min_by("lead_n", "lead").alias("top_n")).where("top < last")
-    met = lists.where("k != lead").select("k", "n", "lead", "lead_n")
-    across = lists.select("h", F.col("lead").alias("k"), F.col("lead_n").alias("n")).distinct().join(tops, "h").where("k != top")
-    met = met.unionByName(across.select("k", "n", F.col("top").alias("lead"), F.col("top_n").alias("lead_n")))
-    met = met.where(F.least("n", "lead_n") * den >= F.greatest("n", "lead_n") * num)
-    counted = met.groupBy("k", "lead").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("lead_n").alias("lead_n"))
-    counted = counted.where(F.col("shared") >= _least_shared(F.col("n"), F.col("lead_n"), num, den))
-    best = counted.groupBy("k").agg(F.max(F.struct("shared", (-F.col("lead")).alias("neg"))).alias("m"))
-    # one query, the class matched with, against the classes that were matched with it
-    pairs = _stage.written(best.select((-F.col("m.neg")).alias("a"), F.col("k").alias("b")), "pairs")
-    keys = _keys(pairs)
-    sets = _sets(texts, members, keys, shingle, min(64, tasks))
-    followers = pairs.select(F.col("a").alias("cluster"), F.col("b").alias("k"))
-    leads = followers.select(F.col("cluster").alias("k")).distinct().select(F.col("k").alias("cluster"), "k")
-    first = _stage.written(_star_links(followers, leads, sets, num, den), "links")
-    labels = components(first)
-
-    known = labels.join(first.select(F.col("b").alias("k"), F.col("a").alias("lead")), "k", "left").groupBy("k", "label").agg(F.min("lead").alias("lead"))
-    named = lists.select("h", "k", "n", "at").join(_stage.written(known, "known"), "k", "left")
-    named = _stage.written(named.select("h", "k", "n", "at", F.coalesce("label", "k").alias("label"), F.coalesce("lead", "k").alias("cluster")), "named")
-    open_lists = named.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("h")
-    rest = named.join(_stage.written(open_lists, "open"), "h", "left_semi")
-    rest = _stage.written(rest.groupBy("h", "cluster", "label").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.max("at").alias("at"), F.count("*").alias("size")), "rest")
-    a, b = rest.alias("a"), rest.alias("b")
-    single = (F.col("a.size") == 1) & (F.col("b.size") == 1)
-    # what two single sets can share at most, from the places of one shared shingle
-    room = F.least("a.at", "b.at") + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    fits = (F.col("a.most") * den >= F.col("b.n") * num) & (F.col("b.most") * den >= F.col("a.n") * num) & (F.col("a.cluster") < F.col("b.cluster")) & (F.col("a.label") != F.col("b.label"))
-    fits = fits & (~single | (room * (num + den) >= num * (F.col("a.n") + F.col("b.n"))))
-    met = a.join(b, (F.col("a.h") == F.col("b.h")) & fits).groupBy(F.col("a.cluster").alias("a"), F.col("b.cluster").alias("b"))
-    met = met.agg(F.count("*").alias("shared"), F.min("a.n").alias("an"), F.min("b.n").alias("bn"), F.max("a.at").alias("a_at"), F.max("b.at").alias("b_at"), F.max("a.most").alias("am"), F.max("b.most").alias("bm"))
-    clusters = _stage.written(named.select("cluster", "k").distinct(), "clusters")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    met = met.join(sizes.select(F.col("cluster").alias("a"), F.col("size").alias("a_size")), "a").join(sizes.select(F.col("cluster").alias("b"), F.col("size").alias("b_size")), "b")
-    asked = _least_shared_of_any(F.least("an", "bn"), F.greatest("an", "bn"), F.greatest("am", "bm"), num, den)
-    beyond = F.least(F.col("an") - F.col("a_at"), F.col("bn") - F.col("b_at")) - 1  # shingles after the last shared one
-    overlap = F.ceil(num * (F.col("an") + F.col("bn")) / (num + den))
-    grown = (F.col("a_size") > 1) | (F.col("b_size") > 1)
-    met = met.where((F.col("shared") >= asked) & (grown | (F.col("shared") + beyond >= overlap)))
-    larger = F.struct("a_size", "a") >= F.struct(F.col("b_size").alias("a_size"), F.col("b").alias("a"))
-    pairs = _stage.written(met.select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("b")), "pairs")
-    involved = _stage.written(clusters.join(_keys(pairs).withColumnRenamed("k", "cluster"), "cluster", "left_semi"), "involved")
-    sets = sets.unionByName(_sets(texts, members, involved.select("k").distinct().join(keys, "k", "left_anti"), shingle, min(64, tasks)))
-    second = _stage.written(_links(involved, pairs, sets, num, den), "links")
-    links = first.unionByName(second)
-    labels = components(links) if second.limit(1).count() else labels
-
-    whole = _stage.written(members.join(labels, "k", "left").select("doc_id", "row_key", "n_shingles", "cls", F.when(F.col("label").isNotNull(), F.col("label").cast("string").cast("binary")).otherwise(F.col("cls")).alias("group")), "grouped")
+    body = texts.select("text").mapInArrow(_postings(order, shingle, num, den, buckets), "bucket long, body binary")
+    lists = _stage.written(body.groupBy("bucket").applyInArrow(_lists(order, num, den, short), _LISTS), "lists")
+    families = _families(lists, num, den)
+    links = _search(families, _sets(texts, members, families.select("k"), shingle, tasks), num, den, tile)
+    labels = components(links)
+    whole = members.join(labels, "k", "left").select("doc_id", "row_key", "n_shingles", "cls", F.when(F.col("label").isNotNull(), F.col("label").cast("string").cast("binary")).otherwise(F.col("cls")).alias("group"))
+    whole = _stage.written(whole, "grouped")
     names = _stage.written(whole.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("name")), "names")
     alone = whole.where("group is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row_key")
     documents = whole.where("group is not null").join(names, "group").select("doc_id", "n_shingles", F.col("name").alias("component_id"), "row_key").unionByName(alone)
     return JaccardJoin(documents, links, members)
 
 
-def _keys(pairs: DataFrame) -> DataFrame:
-    return _stage.written(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct(), "keys")
-
-
 def _key_filter(keys: DataFrame, tasks: int):
     """A broadcast filter of FILTER_BITS bits that passes every ``row_key`` of ``keys``, and few others."""
 

@@ -1,15 +1,15 @@
 """Language identification by language-bitmask n-gram filters.
 
 A bit-sliced Bloom filter holds at each position one bit per language, so the and of an n-gram's probes gives all languages
-that contain it. A text's distinct n-grams are looked up, the bits are counted by language, each count is corrected for the
-false positives that the fill of that language's slice lets through, and the language with the most n-grams left wins.
+that contain it. A text's distinct runs are looked up, the bits are counted by language, each count is corrected for the
+false positives that the fill of that language's slice lets through, and the language with the most runs left wins.
 
-N-grams are of letters, in lower case, with a space before and after each word. Each language is learned from at most ``per_language``
+Runs are of letters, in lower case, with a space before and after each word. Each language is learned from at most ``per_language``
 documents (the documented bound of the sample), in the order of a hash of the id; an n-gram counts as a language's own if enough of its
 documents have it, and not far fewer than in the language that has it most.
 
 Defined results: ``und`` with score 0 for null texts, texts without a letter, and where nothing was learned; a text none of whose
-n-grams is known goes to the first learned language by code point with score 0, as do ties to the earlier of the tied; a null
+runs is known goes to the first learned language by code point with score 0, as do ties to the earlier of the tied; a null
 ``lang`` teaches nothing; repeated rows are alike; other columns are ignored.
 """
 
@@ -45,10 +45,10 @@ def _letters(text: str) -> str:
 
 
 def gram_hashes(texts: list[str]) -> Iterator[np.ndarray | None]:
-    """Hashes of the distinct n-grams of each text; None for a text without a letter."""
+    """Hashes of the distinct runs of each text; None for a text without a letter."""
     spaced = [_letters(t) for t in texts]
     units = np.frombuffer("".join(spaced).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    h = _text.grams(_text.mixed(units + np.uint64(1)), N)
+    h = _text.runs(_text.mixed(units + np.uint64(1)), N)
     at = 0
     for t in spaced:
         yield np.unique(h[at : max(at, at + len(t) - N + 1)]) if any(map(str.isalpha, t)) else None
@@ -69,7 +69,7 @@ class LanguageFilter:
         self.rates = np.array(fill) ** PROBES
 
     def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """Of these n-grams, how many each language contains, corrected for false positives."""
+        """Of these runs, how many each language contains, corrected for false positives."""
         found = np.bitwise_and.reduce([self.masks[p] for p in _probes(hashes, len(self.masks))], axis=0)
         hits = np.array([int(((found[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).sum()) for i in range(len(self.languages))], dtype=float)
         return np.clip((hits - len(hashes) * self.rates) / np.maximum(1e-9, 1 - self.rates), 0, len(hashes))
@@ -104,8 +104,8 @@ def learn(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT, per_language: i
                     if own is not None:
                         have.setdefault(langs[first + r], []).append(own)
         for lang, own in have.items():
-            grams, n = np.unique(np.concatenate(own), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), number[lang], dtype=np.int32)), pa.array(grams.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+            found, n = np.unique(np.concatenate(own), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), number[lang], dtype=np.int32)), pa.array(found.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     texts = rows.join(F.broadcast(sample), ["doc_id", "lang"]).select("lang", "text")
     counts = texts.mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

@@ -68,18 +68,57 @@ def test_jaccard_join_of_clusters_whose_sizes_differ(spark):
     assert found == brute.components(rows) and len({c for _, c in found.values()}) == 120
 
 
-@pytest.mark.parametrize(("num", "den"), [(75, 100), (3, 5), (9, 10)])
-def test_least_shared_of_any_is_the_minimum(spark, num, den):
+def _edited(rng, words, n, mark):
+    own = list(words)
+    for at in rng.sample(range(len(own)), n):
+        own[at] = f"{mark}x{at}"
+    return own
+
+
+@pytest.mark.parametrize(("short", "tile"), [(jaccard_join.SHORT, jaccard_join.TILE), (3, 2000), (1, 400)])
+def test_jaccard_join_at_the_threshold_and_around_a_hub(spark, short, tile):
+    """Copies whose sizes and overlaps lie on either side of the threshold, and a hub of near copies of which many link with others only."""
+    rng, rows = random.Random(11), []
+    for k in range(60):
+        base = [f"b{k}x{i}" for i in range(rng.randint(6, 60))]
+        rows.append(base)
+        rows += [_edited(rng, base, rng.randint(0, 2), f"e{k}y{j}") for j in range(2)]
+        rows += [base + [f"t{k}y{i}" for i in range(rng.randint(0, len(base) // 3 + 1))], base[rng.randint(0, 3) :], [f"f{k}", *base]]
+    hub = [f"h{i}" for i in range(80)]
+    chain = hub
+    for j in range(160):
+        rows.append(_edited(rng, hub, rng.randint(0, 5), f"u{j}"))
+    for j in range(20):
+        chain = _edited(rng, chain, 2, f"c{j}")
+        rows.append(chain)
+    passage = [f"p{i}" for i in range(12)]  # shared by many that do not link
+    rows += [[f"q{j}x{i}" for i in range(rng.randint(8, 30))] + passage for j in range(80)]
+    rng.shuffle(rows)
+    texts = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    joined = jaccard_join.jaccard_join(spark.createDataFrame(texts, "doc_id long, text string").repartition(5), short=short, tile=tile)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in joined.documents.collect()}
+    assert found == brute.components(texts)
+    keys = {r["k"]: r["n_shingles"] for r in joined.members.collect()}
+    assert joined.links.count() < 3 * len(keys) and all(r["a"] in keys and r["b"] in keys for r in joined.links.collect())
+
+
+def test_a_link_shares_as_many_prefix_shingles_as_asked():
+    """The bound by which pairs are left out holds for any order of shingles."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
     up = lambda a, b: -(-a // b)
-    rng, cases = random.Random(8), []
-    while len(cases) < 400:
-        a, b = sorted((rng.randint(1, 90), rng.randint(1, 90)))
-        c = b + rng.randint(0, 30)
-        pairs = [(m, n) for n in range(b, c + 1) for m in range(a, n + 1) if m * den >= n * num]
-        if pairs:
-            cases.append((a, b, c, min(up(num * (m + n), num + den) - up(num * n, den) + 1 for m, n in pairs)))
-    frame = spark.createDataFrame(cases, "a long, b long, c long, expected long")
-    assert not frame.where(jaccard_join._least_shared_of_any(F.col("a"), F.col("b"), F.col("c"), num, den) != F.col("expected")).take(3)
+    for _ in range(2000):
+        n1 = int(rng.integers(1, 60))
+        n2 = int(rng.integers(n1, 60 * 4 // 3 + 1))
+        need = up(75 * (n1 + n2), 175)
+        if need > n1:
+            continue
+        order = rng.permutation(n1 + n2 - need)
+        common, own = order[:need], order[need:]
+        sets = [np.sort(np.concatenate([common, own[: n1 - need]])), np.sort(np.concatenate([common, own[n1 - need :]]))]
+        first = [x[: len(x) - up(75 * len(x), 100) + 1] for x in sets]
+        assert len(np.intersect1d(*first)) >= need - up(75 * max(n1, n2), 100) + 1
 
 
 def test_divide_skip_equals_counting():
