@@ -1,9 +1,10 @@
 """WARC archives of pages, written and read back as tables of record chunks.
 
 Writing: every page is one record. Of pages with equal payloads of ``REVISIT_BYTES`` or more, that with the smallest id is a response
-and the others are revisits that refer to it. A payload longer than ``chunk`` characters becomes WARC segments: a response record
-with WARC-Segment-Number 1 and continuation records, one table row each, so no row holds more than a chunk. Spark writes the
-rows as gzip-compressed text files, one archive for each task.
+and the others are revisits that refer to it. A payload longer than ``chunk`` bytes becomes WARC segments: a response record
+with WARC-Segment-Number 1 and continuation records, one table row each, so no row holds more than a chunk. A generator cuts them off
+the payload one by one; each carries the digest of all up to its end on to the next. Spark writes the rows as gzip-compressed text files,
+one archive for each task.
 
 Reading: archives are split at the record mark ``WARC/1.0``. That is safe because the writer never lets the mark stand inside a
 segment: it ends a segment inside any payload's own mark. Each fragment is a chunk row of record id and segment number. Digests of
@@ -22,22 +23,56 @@ from collections.abc import Iterable, Iterator
 from uuid import uuid4
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import _stage
 
 REVISIT_BYTES = 100
-#: Characters of a segment at most.
+#: Bytes of a segment at most (a multiple-byte character is never cut), and of the records a task hands on at a time.
 CHUNK = 1 << 16
+BATCH = 1 << 20
 MARK = "WARC/1.0"
+_MARK_HEAD = len("WARC/")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def classified(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """``row, page_id, url, payload, payload_bytes, payload_digest, refers_to``: refers_to is null for responses."""
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
-    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2(F.col("payload").cast("binary"), 256))
+def _slices(payload: memoryview, chunk: int) -> Iterator[memoryview]:
+    """The payload in slices of ``chunk`` bytes at most, none of which ends inside a character or lets the record mark stand inside it."""
+    at, size = 0, len(payload)
+    while at < size:
+        end = min(size, at + chunk)
+        while end < size and payload[end] & 0xC0 == 0x80:  # the next byte goes on with a character
+            end -= 1
+        # the mark is cut in two: its first part ends this slice
+        cut = bytes(payload[at : end + len(MARK)]).find(MARK.encode())
+        if 0 <= cut < end - at:
+            end = at + cut + _MARK_HEAD
+        yield payload[at:end]
+        at = end
+
+
+def digested(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``page_id, url, payload, payload_bytes, payload_digest``: digests run over each payload slice by slice, on the batch's own buffer."""
+
+    @F.arrow_udf("struct<size: long, digest: string>")
+    def measure(payloads: pa.Array) -> pa.Array:
+        sizes, digests = [], []
+        for value in payloads.cast(pa.large_binary()):
+            state, view = hashlib.sha256(), memoryview(value.as_buffer())
+            for at in range(0, len(view), chunk):
+                state.update(view[at : at + chunk])
+            sizes.append(len(view))
+            digests.append(state.hexdigest())
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], ["size", "digest"])
+
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
+    return rows.withColumn("m", measure("payload")).select("page_id", "url", "payload", F.col("m.size").alias("payload_bytes"), F.col("m.digest").alias("payload_digest"))
+
+
+def classified(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, chunk: int = CHUNK) -> DataFrame:
+    """The rows of ``digested`` with ``refers_to``, which is null for responses."""
+    rows = digested(pages, chunk)
     copies = rows.where(F.col("payload_bytes") >= revisit_bytes).groupBy("payload_digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first_id"))
     # only digests that come twice; written, so that a digest of very many rows is a plain join side that can be split
     copies = _stage.written(copies.where("n > 1 and first_id is not null").select(F.col("payload_digest").alias("copied"), "first_id"), "copies")
@@ -45,52 +80,86 @@ def classified(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFram
     return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))).drop("copied", "first_id")
 
 
-def _header(name: str, value: Column) -> Column:
-    return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise(F.lit(""))
-
-
-def _target(url: Column) -> Column:
+def _target(url: str) -> str:
     """The url without control characters and without the record mark."""
     for code in (0, 9, 10, 13):
-        url = F.replace(url, F.lit(chr(code)), F.lit(f"%{code:02X}"))
-    return F.replace(url, F.lit(MARK), F.lit("WARC/1%2E0"))
+        url = url.replace(chr(code), f"%{code:02X}")
+    return url.replace(MARK, "WARC/1%2E0")
+
+
+def _records(row: dict, rid: str, payload: memoryview, chunk: int) -> Iterator[bytes]:
+    """The WARC records of one page, one after another: the head of a segment and its slice, up to its last line feed.
+
+    Each segment says the digest of the payload up to its end, carried on from the one before.
+    """
+    state, done, nr = hashlib.sha256(), 0, 0
+    parts = _slices(payload, chunk)
+    body = next(parts, payload[:0])
+    while body is not None:
+        following, nr = next(parts, None), nr + 1
+        state.update(body)
+        done += len(body)
+        first, last = nr == 1, following is None
+        kind = "continuation" if not first else "response" if row["refers_to"] is None else "revisit"
+        head = {
+            "WARC-Type": kind,
+            "WARC-Record-ID": f"<{rid}:{nr}>",
+            "WARC-Date": "1970-01-01T00:00:00Z",
+            "WARC-Target-URI": _target(row["url"]) if first and row["url"] is not None else None,
+            "WARC-Payload-Digest": f"sha256:{row['payload_digest']}" if first else None,
+            "WARC-Profile": _PROFILE if kind == "revisit" else None,
+            "WARC-Refers-To": None if row["refers_to"] is None else f"<urn:page:{row['refers_to']}>",
+            "WARC-Segment-Number": nr if not (first and last) else None,
+            "WARC-Segment-Origin-ID": f"<{rid}:1>" if not first else None,
+            "WARC-Segment-Total-Length": row["payload_bytes"] if last and not first else None,
+            "X-Payload-Length": row["payload_bytes"] if first else None,
+            "X-Running-Digest": f"sha256:{state.hexdigest()}" if not (first and last) else None,
+            "Content-Type": "text/html; charset=utf-8",
+            "Content-Length": len(body),
+        }
+        lines = "".join(f"{name}: {value}\r\n" for name, value in head.items() if value is not None)
+        yield b"".join((f"{MARK}\r\n{lines}\r\n".encode(), body, b"\r\n"))
+        body = following
+    if kind != "revisit" and (done, state.hexdigest()) != (row["payload_bytes"], row["payload_digest"]):
+        raise ValueError(f"{rid}: the segments do not make up the payload")
 
 
 def segments(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Chunk rows of the archive: ``row`` and ``record``, the text of one WARC record up to its last line feed."""
-    rows = classified(pages)
-    revisit = F.col("refers_to").isNotNull()
-    parts = F.split(F.when(revisit, F.lit("")).otherwise(F.col("payload")), r"(?<=WARC/)(?=1\.0)", -1)
-    cut = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) <= chunk, F.array(p)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / chunk).cast("int")), lambda i: F.substring(p, i * chunk + 1, F.lit(chunk))))))
-    chunks = rows.withColumn("parts", cut).withColumn("n_parts", F.size("parts")).select("row", "page_id", "url", "payload_bytes", "payload_digest", "refers_to", "n_parts", F.posexplode("parts").alias("nr", "body"))
-    first, many, last = F.col("nr") == 0, F.col("n_parts") > 1, F.col("nr") == F.col("n_parts") - 1
-    rid = lambda nr: F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), F.col("row").cast("string"), F.lit(":"), nr.cast("string"), F.lit(">"))
-    kind = F.when(~first, "continuation").when(F.col("refers_to").isNotNull(), "revisit").otherwise("response")
-    record = F.concat(
-        F.lit(f"{MARK}\r\n"),
-        _header("WARC-Type", kind),
-        _header("WARC-Record-ID", rid(F.col("nr") + 1)),
-        _header("WARC-Date", F.lit("1970-01-01T00:00:00Z")),
-        _header("WARC-Target-URI", F.when(first, _target(F.col("url")))),
-        _header("WARC-Payload-Digest", F.when(first, F.concat(F.lit("sha256:"), F.col("payload_digest")))),
-        _header("WARC-Profile", F.when(kind == "revisit", F.lit(_PROFILE))),
-        _header("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))),
-        _header("WARC-Segment-Number", F.when(many, (F.col("nr") + 1).cast("string"))),
-        _header("WARC-Segment-Origin-ID", F.when(~first, rid(F.lit(1)))),
-        _header("WARC-Segment-Total-Length", F.when(many & last, F.col("payload_bytes").cast("string"))),
-        _header("X-Payload-Length", F.when(first, F.col("payload_bytes").cast("string"))),
-        _header("Content-Type", F.lit("text/html; charset=utf-8")),
-        _header("Content-Length", F.octet_length("body").cast("string")),
-        F.lit("\r\n"),
-        F.col("body"),
-        F.lit("\r\n"),
-    )
-    return chunks.select("row", record.alias("record"))
+    """Chunk rows of the archive: ``record``, the text of one WARC record up to its last line feed.
+
+    A generator cuts slices off the batch's buffer and hands on at most about BATCH bytes of records at a time, so neither a payload nor its chunks
+    are ever copied as a whole.
+    """
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["record"])
+
+        for batch in batches:
+            plain = {c: batch.column(c).to_pylist() for c in ("row", "page_id", "url", "payload_bytes", "payload_digest", "refers_to")}
+            payloads = batch.column("payload").cast(pa.large_binary())
+            for i in range(batch.num_rows):
+                row = {c: v[i] for c, v in plain.items()}
+                rid = f"urn:page:{'' if row['page_id'] is None else row['page_id']}:{row['row']}"
+                payload = memoryview(payloads[i].as_buffer())
+                for record in _records(row, rid, payload if row["refers_to"] is None else payload[:0], chunk):
+                    out.append(record)
+                    held += len(record)
+                    if held > BATCH:
+                        yield flush()
+                        out, held = [], 0
+        if out:
+            yield flush()
+
+    rows = classified(pages, chunk=chunk).withColumn("row", F.monotonically_increasing_id())
+    return rows.mapInArrow(cut, "record string")
 
 
 def write_archives(pages: DataFrame, path: str, chunk: int = CHUNK) -> None:
     """The archives of ``pages`` under ``path``, wherever Spark can write."""
-    segments(pages, chunk).select("record").write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    segments(pages, chunk).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
