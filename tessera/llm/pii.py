@@ -34,12 +34,13 @@ PATTERNS = {
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     # identifier-like tokens: a digit or an at sign within letters, digits and +@._%/-
-    "token": r"(?:\G|(?<![A-Za-z0-9+@._%/-]))(?=[A-Za-z+._%/-]{0,64}[0-9@])[A-Za-z0-9+](?:[A-Za-z0-9+@._%/-]*[A-Za-z0-9])?",
+    "token": r"(?:\G|(?<![A-Za-z0-9+@._%/-]))(?=[A-Za-z+._%/-]*+[0-9@])[A-Za-z0-9+](?:[A-Za-z0-9+@._%/-]*[A-Za-z0-9])?",
 }
 #: What a text must contain for a pattern to be tried.
 NEEDS = {"email": "contains(text, '@')", "ip": "has_digit", "card": "has_digit", "phone": "contains(text, '+')", "token": "has_digit or contains(text, '@')"}
-#: Characters of context that are kept on either side.
-CONTEXT = 60
+#: Of the text around a match, what its patterns need, whole words however long: up to two words before it, read from a reversed text, and one after.
+BEFORE = r"^\s*+(?:\S++\s++)?\S*+"
+AFTER = r"^\s*+\S*+"
 ROUNDS = 3
 LEAST_SUPPORT = 5
 LEAST_CONFIDENCE = 0.8
@@ -55,7 +56,8 @@ def _matches(kind: str) -> str:
     """SQL of an array with every match: the gap before it, its length, itself, and its context."""
     pattern = _quoted(PATTERNS[kind])
     found = f"named_struct('m', regexp_extract_all(text, {pattern}, 0), 'gaps', split(text, {pattern}, -1))"
-    one = f"named_struct('kind', '{kind}', 'at', i, 'gap', char_length(z.gaps[i]), 'len', char_length(x), 'm', x, 'before', right(z.gaps[i], {CONTEXT}), 'after', left(z.gaps[i + 1], {CONTEXT}))"
+    before, after = f"reverse(regexp_extract(reverse(z.gaps[i]), {_quoted(BEFORE)}, 0))", f"regexp_extract(z.gaps[i + 1], {_quoted(AFTER)}, 0)"
+    one = f"named_struct('kind', '{kind}', 'at', i, 'gap', char_length(z.gaps[i]), 'len', char_length(x), 'm', x, 'before', {before}, 'after', {after})"
     empty = "cast(array() as array<struct<kind:string,at:int,gap:int,len:int,m:string,before:string,after:string>>)"
     return f"if({NEEDS[kind]}, transform(array({found}), z -> transform(z.m, (x, i) -> {one}))[0], {empty})"
 
@@ -101,9 +103,9 @@ def _patterns() -> Column:
     """The lexical patterns of a match: words before and after, lower-cased, digits as 0."""
     plain = lambda c: F.regexp_replace(F.lower(c), "[0-9]+", "0")
     before, after = plain(F.col("before")), plain(F.col("after"))
-    two = F.regexp_extract(before, r"(\S+\s+\S+)\s*$", 1)
-    last = F.regexp_extract(before, r"(\S+)\s*$", 1)
-    following = F.regexp_extract(after, r"^\s*(\S+)", 1)
+    two = F.regexp_extract(before, r"^\s*+(\S++\s++\S++)\s*+$", 1)
+    last = F.regexp_extract(before, r"^\s*+(?:\S++\s++)?(\S++)\s*+$", 1)
+    following = F.regexp_extract(after, r"^\s*+(\S++)", 1)
     both = F.when((last != "") & (following != ""), F.concat(last, F.lit(" _ "), following))
     return F.array_compact(F.array(F.when(two != "", F.concat(F.regexp_replace(two, r"\s+", " "), F.lit(" _"))), both))
 
