@@ -88,8 +88,14 @@ def learn(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT, per_language: i
     """The filter of the languages of all rows that are not held out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and doc_id is not null")
     rows = rows.where(~_stage.held_out("doc_id", *held_out))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = rows.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
+    # the first of each language by hash; a histogram of the hashes' first bits says how far these reach, so no task ranks a whole language
+    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash")).withColumn("bin", F.shiftright("hash", 48))
+    order = Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = ids.groupBy("lang", "bin").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    reach = bins.where(F.col("before") < per_language).groupBy(F.col("lang").alias("of")).agg(F.max("bin").alias("last"))
+    near = ids.join(F.broadcast(reach), F.col("lang") == F.col("of")).where("bin <= last")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
+    sample = near.withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
     sample = _stage.written(sample, "languages")
     sizes = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
