@@ -145,20 +145,20 @@ def train(docs: DataFrame, sample: DataFrame, sizes: tuple[int, ...], bits: int,
     """
 
     def indicators(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        makes = Indicators(sizes, bits)
         for batch in batches:
-            batch = batch.filter(pa.array([not (i in seen or seen.add(i)) for i in batch.column("doc_id").to_pylist()], pa.bool_()))
-            rows = [s.tobytes() for s in Indicators(sizes, bits).of(batch.column("text"))]
+            rows = [np.sort(s).tobytes() for s in makes.of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.binary())], ["doc_id", "label", "slots"])
 
     def fit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: dict[int, tuple[int, np.ndarray]] = {}
+        have: dict[int, tuple[int, bytes]] = {}
         for batch in batches:
             for i, y, s in zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), batch.column("slots"), strict=True):
-                have[i] = (y, np.frombuffer(s.as_buffer(), dtype=np.int32).copy())
+                own = (y, s.as_py())
+                have[i] = min(have.get(i, own), own)  # of rows that repeat an id, the same one in whatever order they arrive
         ids = sorted(have)
         y = np.array([have[i][0] for i in ids], dtype=int)
-        rows = [have[i][1] for i in ids]
+        rows = [np.frombuffer(have[i][1], dtype=np.int32) for i in ids]
         r = w = np.zeros(1 << bits)
         bias, a, b = 0.0, 0.0, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
         if 0 < y.sum() < len(y):
