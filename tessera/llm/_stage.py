@@ -11,9 +11,11 @@ from pyspark.sql import types as T
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder all machines share: ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) a temporary folder is made and set."""
+    """The folder all machines share: ``spark.checkpoint.dir``. Only where that is unset on one machine (tests) a temporary folder is made and set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         where = tempfile.mkdtemp(prefix="spark-llm-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", where)
     return where

@@ -207,8 +207,9 @@ def test_lm_keeps_all_words_and_pairs_at_any_size_of_a_pass(spark):
     model, _ = lm_bloom.train(rows, word_bits=10_000, pair_bits=10_000)
     assert len(model.words.groups) > 1 and len(model.pairs.groups) > 1 and len(whole) == 152
     assert small == pytest.approx(whole, rel=1e-9)
+    assert own(buckets=1024) == pytest.approx(whole, rel=0.1)  # other filters have other false positives
     once = np.random.default_rng(1).integers(0, 1 << 40, 300_000).astype(np.uint64)
-    bits, least = lm_bloom.build_part(once, np.ones(len(once), dtype=np.int64), 1)
+    bits, least = lm_bloom.build_part(once, np.ones(len(once), dtype=np.int64))
     assert least == 1 and len(bits) == 300_000
     assert lm_bloom.train(spark.createDataFrame([(1, "one two three")], "doc_id long, text string"))[0].pairs.table.first()["least"] == 1
 
@@ -218,14 +219,15 @@ def test_pair_counts_beyond_two_bytes_are_whole():
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_pydict({"text": pa.array(["spam " * 300_000, "ham " * 65_536, "one two"])})
-    table = pa.Table.from_batches(list(lm_bloom._counted([batch])))
+    n = lm_bloom.BUCKETS[0]
+    table = pa.Table.from_batches(list(lm_bloom._counted([batch], n)))
     parts = {}
-    for b in range(lm_bloom.BUCKETS):
-        own = lm_bloom._pair_part(table.filter(pa.compute.equal(table["bucket"], b)))
+    for b in set(table["bucket"].drop_null().to_pylist()):
+        own = lm_bloom._pair_part(table.filter(pa.compute.equal(table["bucket"], b)), n)
         parts[b] = (own["bits"][0].as_py(), own["least"][0].as_py())
     own, begins = lm_bloom.tokens(next(iter(lm_bloom._text.blocks(pa.array(["spam spam", "ham ham", "one two"]), lm_bloom._text.SPACED))))
     keys = lm_bloom.pairs(own, begins)[0][begins[:-1] + 1] & np.uint64((1 << 48) - 1)
-    assert np.abs(np.log2(lm_bloom.LogFrequencyFilter(parts).counts(keys) / np.array([299_999, 65_535, 1]))).max() <= 0.26
+    assert np.abs(np.log2(lm_bloom.LogFrequencyFilter(parts, n).counts(keys) / np.array([299_999, 65_535, 1]))).max() <= 0.26
 
 
 def test_filter_counts_are_near():
@@ -234,12 +236,12 @@ def test_filter_counts_are_near():
     keys = np.arange(1, 20001, dtype=np.uint64) * np.uint64(2654435761)
     counts = np.maximum(1, 100000 // np.arange(1, 20001))
     parts = {}
-    for b in range(lm_bloom.BUCKETS):
-        own = keys % np.uint64(lm_bloom.BUCKETS) == b
-        parts[b] = lm_bloom.build_part(keys[own], counts[own], 1, 1 << 20)
-    read = lm_bloom.LogFrequencyFilter(parts).counts(keys)
+    for b in range(256):
+        own = keys % np.uint64(256) == b
+        parts[b] = lm_bloom.build_part(keys[own], counts[own])
+    read = lm_bloom.LogFrequencyFilter(parts, 256).counts(keys)
     assert (np.abs(np.log2(read / counts)) <= 0.26).mean() > 0.95 and (read > 0).all()
-    absent = lm_bloom.LogFrequencyFilter(parts).counts(keys + np.uint64(12345))
+    absent = lm_bloom.LogFrequencyFilter(parts, 256).counts(keys + np.uint64(12345))
     assert (absent > 0).mean() < 0.08
 
 
@@ -298,6 +300,30 @@ def test_mixing(spark, docs):
     assert mixing.mix(_empty(spark)).count() == 0
 
 
+def test_personal_data_with_long_tokens_and_long_words_of_context(spark):
+    """A token whose first digit comes after 70 letters is an instance, and a word of 100 letters stands whole in a pattern."""
+    word = "w" * 100
+    seeds = [(i, f"{word} 1 call me at +1 555 01{i:02d} 77{i:02d} now") for i in range(12)]
+    hidden = [(100, f"{word} 1 call me at {'x' * 70}5550{1:03d} now"), (101, "y" * 120 + " call me at 555012345 now")]
+    found = {r["doc_id"]: r["spans"] for r in pii.extract(spark.createDataFrame([*seeds, *hidden], "doc_id long, text string")).collect()}
+    learned = {d: [(s["kind"], s["end"] - s["start"]) for s in found[d] if not s["base"]] for d in (100, 101)}
+    assert learned == {100: [("phone", 77)], 101: [("phone", 9)]}
+    wide = pii.found_spans(spark.createDataFrame(hidden[:1], "doc_id long, text string")).where("kind = 'token'").first()
+    assert wide["before"].split() == ["me", "at"] and wide["after"].split() == ["now"]
+
+
+def test_segments_carry_the_digest_of_all_before_them(spark):
+    """A payload of several slices: each record of the archive says the digest up to its own end, none is longer than a slice."""
+    html = "é1" * 5000
+    rows = [r["record"] for r in warc.segments(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"), chunk=1000).collect()]
+    done = b""
+    for r in rows:
+        head, body = r.split("\r\n\r\n", 1)
+        done += body[:-2].encode()
+        assert f"X-Running-Digest: sha256:{hashlib.sha256(done).hexdigest()}" in head and len(body[:-2].encode()) <= 1000
+    assert len(rows) >= 15 and done == html.encode()
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "é" * 150_000 + "WARC/1.0\r\nWARC-Type: response\r\n\r\n"
     pages = [(1, "http://a/", "x" * 200), (2, "http://b/\r\nWARC/1.0", "x" * 200), (3, None, None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", long), (8, "u", long), (9, "u", "WARC/1.0"), (10, "u", "\r\n\r\n" * 40), (None, "u", "y" * 300), (12, "u", "ends with WARC/1.0\r\nWARC/1.0" * 9)]
