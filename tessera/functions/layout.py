@@ -14,10 +14,12 @@ def pad(cells: DataFrame) -> DataFrame:
     return grid.join(cells.select("table_id", "row", "col", "value"), ["table_id", "row", "col"], "left").select("table_id", "row", "col", F.coalesce("value", F.lit("")).alias("value"))
 
 
-def matrix(cells: DataFrame, columns: list[int]) -> DataFrame:
-    """``table_id, row, c0, c1, ...``: the named columns side by side."""
-    picked = [F.max(F.when(F.col("col") == c, F.col("value"))).alias(f"c{c}") for c in columns]
-    return cells.groupBy("table_id", "row").agg(*picked)
+def matrix(cells: DataFrame) -> DataFrame:
+    """``table_id, row, cells``: each row's cells as an array, as wide as its table; null where there is none."""
+    width = cells.groupBy("table_id").agg(F.max("col").alias("last"))
+    rows = cells.groupBy("table_id", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("held"))
+    places = F.sequence(F.lit(0).cast("long"), F.col("last").cast("long"))
+    return rows.join(width, "table_id").select("table_id", "row", F.transform(places, lambda c: F.col("held")[c]).alias("cells"))
 
 
 def compact_runs(items: DataFrame, group: list[str], order: str, kind: str) -> DataFrame:

@@ -12,11 +12,10 @@ def column_relations(links: DataFrame) -> DataFrame:
 
     ``freq`` counts linked pairs of cells, ``unique_freq`` distinct pairs of entities, ``score`` sums each pair's best probability.
     """
-    pairs = links.groupBy("table_id", "src_col", "dst_col", "prop", "row", "src", "dst").agg(F.max("prob").alias("prob"))
-    rows = pairs.groupBy("table_id", "src_col", "dst_col", "prop", "row").agg(F.max("prob").alias("best"), F.collect_set(F.struct("src", "dst")).alias("ends"), F.count("*").alias("n"))
-    counts = rows.groupBy("table_id", "src_col", "dst_col", "prop").agg(F.sum("n").alias("freq"), F.sum("best").alias("score"))
-    distinct = pairs.select("table_id", "src_col", "dst_col", "prop", "src", "dst").distinct().groupBy("table_id", "src_col", "dst_col", "prop").agg(F.count("*").alias("unique_freq"))
-    return counts.join(distinct, ["table_id", "src_col", "dst_col", "prop"]).select("table_id", "src_col", "dst_col", "prop", "freq", "unique_freq", "score")
+    key = ["table_id", "src_col", "dst_col", "prop"]
+    pairs = links.groupBy(*key, "row", "src", "dst").agg(F.max("prob").alias("prob"))
+    ends = pairs.groupBy(*key, "src", "dst").agg(F.count("*").alias("n"), F.sum("prob").alias("score"))
+    return ends.groupBy(*key).agg(F.sum("n").alias("freq"), F.count("*").alias("unique_freq"), F.sum("score").alias("score"))
 
 
 def with_parents(classes: DataFrame, parents: DataFrame, distance: int = 1) -> DataFrame:

@@ -72,3 +72,10 @@ def islands(values: DataFrame, eps: int, group: list[str]) -> DataFrame:
     marked = values.withColumn("jump", jump).withColumn("island", F.sum("jump").over(order))
     own = Window.partitionBy(*group, "island")
     return marked.withColumn("island_sum", F.sum("value").over(own)).withColumn("island_n", F.count("*").over(own)).drop("jump")
+
+
+def smoothed(values: DataFrame, eps: float, group: list[str], threshold: float = 0.0) -> DataFrame:
+    """``values`` from ``threshold`` on, with ``mean``: the mean of the cluster that a value is in (see ``islands``); the value itself if ``eps`` and ``threshold`` are 0."""
+    if not eps and not threshold:
+        return values.withColumn("mean", F.col("value").cast("double"))
+    return islands(values.where(F.col("value") >= threshold), eps, group).withColumn("mean", F.col("island_sum") / F.col("island_n")).drop("island", "island_sum", "island_n")

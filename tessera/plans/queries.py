@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,50 +10,10 @@ from tessera.functions import layout, matchers, text
 from tessera.operators import candidates as cg
 from tessera.operators import features, flow, hlmrf, kg, model, paths, selection
 from tessera.plans import star
+from tessera.plans.registry import query
+from tessera.session import staged
 from tessera.sources import links
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-_LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
-_VIEWS = f"""
-    ls as (select *, row_number() over (partition by l_orderkey order by {_LINE}) - 1 as stmt_idx from lineitem),
-    stm as (select 'N' || n_nationkey as entity_id, 'in_region' as prop, cast(0 as bigint) as stmt_idx, 'R' || n_regionkey as target from nation
-        union all select 'C' || c_custkey, 'in_nation', 0, 'N' || c_nationkey from customer
-        union all select 'S' || s_suppkey, 'in_nation', 0, 'N' || s_nationkey from supplier
-        union all select 'O' || o_orderkey, 'placed_by', 0, 'C' || o_custkey from orders
-        union all select 'O' || l_orderkey, 'has_item', stmt_idx, 'P' || l_partkey from ls),
-    qual as (select 'O' || l_orderkey as entity_id, 'has_item' as prop, stmt_idx, 'supplied_by' as qual, 'S' || l_suppkey as target from ls),
-    nr as (select *, l_orderkey % 50 as table_id, row_number() over (partition by l_orderkey % 50 order by {_LINE}) - 1 as "row" from lineitem),
-    cand as (select table_id, "row", 0 as col, 'O' || l_orderkey as entity_id, cast(10000 as bigint) as prob from nr
-        union all select table_id, "row", 1, 'P' || l_partkey, 10000 - cast(round(l_discount * 10000) as bigint) from nr
-        union all select table_id, "row", 2, 'S' || l_suppkey, 10000 - cast(round(l_tax * 10000) as bigint) from nr),
-    cls as (select 'P' || p_partkey as entity_id, p_type as class from part union all select 'C' || c_custkey, c_mktsegment from customer),
-    par0 as (select distinct p_type as child, 'any ' || string_split(p_type, ' ')[-1] as parent from part),
-    par as (select child, parent from par0 union select parent, 'goods' from par0),
-    hop as (select src, dst, prop, stmt_idx, coalesce(string_agg(distinct qual, ',' order by qual), '') as quals, bool_or(v) as is_value
-        from (select entity_id as src, target as dst, prop, stmt_idx, null as qual, true as v from stm union all select entity_id, target, prop, stmt_idx, qual, false from qual) group by all),
-    lnk as (select u.table_id, u."row", cast(u.col as bigint) as src_col, cast(v.col as bigint) as dst_col, u.entity_id as src, v.entity_id as dst, h.prop, h.stmt_idx, h.is_value, h.quals, least(u.prob, v.prob) as prob
-        from cand u join hop h on h.src = u.entity_id join cand v on v.table_id = u.table_id and v."row" = u."row" and v.entity_id = h.dst and v.col <> u.col where h.src <> h.dst)
-"""
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, and the SQL for it after the common views."""
-
-    def register(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = make(spark, sf_dir)
-            return df.select(*[F.col(c).cast("long").alias(c) if kind in ("int", "tinyint", "smallint") else F.col(c) for c, kind in df.dtypes])
-
-        QUERIES[make.__name__] = run
-        if sql is not None:
-            ORACLE_SQL[make.__name__] = f"with {_VIEWS} {sql}"
-        return make
-
-    return register
-
-
 @query(
     """, f as (select table_id, class, sum(prob) as freq from (select table_id, "row", class, max(prob) as prob from cand join cls using (entity_id) where col = 1 group by all) group by all),
     n as (select table_id, count(*) as n_rows from nr group by table_id)
@@ -66,7 +24,7 @@ def cta_argmax_part_type(spark, sf_dir):
     """Which class the part column of each table has: the flagship query."""
     parts = star.candidates(spark, sf_dir).where(F.col("col") == star.PART)
     best = cg.best_type(cg.type_frequency(parts, star.classes(spark, sf_dir)))
-    n_rows = star.numbered_rows(spark, sf_dir).groupBy("table_id").agg(F.count("*").alias("n_rows"))
+    n_rows = star.read(spark, sf_dir, "lineitem").groupBy(F.expr(f"l_orderkey div {star.ORDERS}").alias("table_id")).agg(F.count("*").alias("n_rows"))
     return best.join(n_rows, "table_id").select("table_id", "class", "freq", F.expr("freq div n_rows").alias("share"))
 
 
@@ -127,7 +85,7 @@ def cell_pairs(spark, sf_dir):
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.object_search(star.candidates(spark, sf_dir), kg.one_hop(star.statements(spark, sf_dir), star.qualifiers(spark, sf_dir)))
+    return paths.object_search(staged(star.candidates(spark, sf_dir), "candidates"), kg.one_hop(star.statements(spark, sf_dir), star.qualifiers(spark, sf_dir)))
 
 
 @query(
@@ -135,7 +93,7 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     union all select table_id, "row", src_col, dst_col, src, dst, prop, stmt_idx, 'qualifier', quals from lnk where quals <> ''"""
 )
 def object_search(spark, sf_dir):
-    return _links(spark, sf_dir)
+    return _links(spark, sf_dir).drop("prob")
 
 
 @query(
@@ -192,7 +150,7 @@ def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = (F.col("c_custkey") % 5).alias("table_id")
     up = customer.select(table, F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("src"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("dst"), F.lit("in_nation").alias("prop"), F.lit("s1").alias("stmt"), F.lit(flow.LINK).alias("method"), F.lit("").alias("arg"), (5000 + F.col("c_custkey") % 5000).alias("prob"))
     tables = customer.select(table).distinct()
-    region = tables.join(F.broadcast(nation), how="cross").select("table_id", F.concat(F.lit("N"), F.col("n_nationkey").cast("string")), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")), F.lit("in_region"), F.lit("s2"), F.lit(flow.LINK), F.lit(""), F.lit(9000).cast("long"))
+    region = tables.crossJoin(nation).select("table_id", F.concat(F.lit("N"), F.col("n_nationkey").cast("string")), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")), F.lit("in_region"), F.lit("s2"), F.lit(flow.LINK), F.lit(""), F.lit(9000).cast("long"))
     used = tables.select("table_id", F.lit("N0"), F.lit("R0"), F.lit("located_in"), F.lit("s3"), F.lit(flow.LITERAL), F.lit("x"), F.lit(100).cast("long"))
     return up.union(region).union(used)
 
@@ -254,12 +212,8 @@ def flow_division(spark, sf_dir):
 
 def _relations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Links with the lower probability of their ends, and the column relations they make."""
-    prob = star.candidates(spark, sf_dir)
     found = _links(spark, sf_dir)
-    u = prob.select("table_id", "row", F.col("col").alias("src_col"), F.col("prob").alias("pu"))
-    v = prob.select("table_id", "row", F.col("col").alias("dst_col"), F.col("prob").alias("pv"))
-    named = found.withColumn("prop", F.when(F.col("kind") == "value", F.col("prop")).otherwise(F.concat("prop", F.lit("/"), "via")))
-    linked = named.join(u, ["table_id", "row", "src_col"]).join(v, ["table_id", "row", "dst_col"]).withColumn("prob", F.least("pu", "pv"))
+    linked = staged(found.withColumn("prop", F.when(F.col("kind") == "value", F.col("prop")).otherwise(F.concat("prop", F.lit("/"), "via"))), "linked")
     return linked, cg.column_relations(linked)
 
 
@@ -288,8 +242,8 @@ def cg_build(spark, sf_dir):
 def feat_relations(spark, sf_dir):
     """Relation features: score over rows, over possible rows, over the pair's possible relations, and the two of unmatched links."""
     linked, relations = _relations(spark, sf_dir)
-    cand = star.candidates(spark, sf_dir)
-    n_rows = star.numbered_rows(spark, sf_dir).groupBy("table_id").agg(F.count("*").alias("n_rows"))
+    cand, relations = staged(star.candidates(spark, sf_dir), "candidates"), staged(relations, "relations")
+    n_rows = star.read(spark, sf_dir, "lineitem").groupBy(F.expr(f"l_orderkey div {star.ORDERS}").alias("table_id")).agg(F.count("*").alias("n_rows"))
     return features.relation_features(relations, n_rows, features.possible_links(cand, relations), features.unmatched_links(cand, star.statements(spark, sf_dir), linked))
 
 
@@ -340,11 +294,11 @@ def prob_islands(spark, sf_dir):
 
 
 @query(
-    """select l_orderkey % 50 as table_id, 'a' || l_partkey as atom, cast(round(10000 * max(1 - l_discount) * 2 / 3) as bigint) as truth from lineitem where l_linenumber = 1 group by all"""
+    """select l_orderkey // 200 as table_id, 'a' || l_partkey as atom, cast(round(10000 * max(1 - l_discount) * 2 / 3) as bigint) as truth from lineitem group by all"""
 )
 def hlmrf_independent(spark, sf_dir):
     """One positive feature of weight 2 and a negative prior of weight 1 for each atom: the optimum is 2 f / 3."""
-    evidence = star.read(spark, sf_dir, "lineitem").where("l_linenumber = 1").groupBy((F.col("l_orderkey") % 50).alias("table_id"), F.concat(F.lit("a"), F.col("l_partkey").cast("string")).alias("atom")).agg(F.max(1 - F.col("l_discount")).alias("truth"))
+    evidence = star.read(spark, sf_dir, "lineitem").groupBy(F.expr(f"l_orderkey div {star.ORDERS}").alias("table_id"), F.concat(F.lit("a"), F.col("l_partkey").cast("string")).alias("atom")).agg(F.max(1 - F.col("l_discount")).alias("truth"))
     ground = hlmrf.ground_positive(evidence, 2.0, "feature").union(hlmrf.ground_negative(evidence.withColumn("truth", F.lit(1.0)), 1.0, "prior"))
     return hlmrf.solve(ground).withColumn("truth", F.round(F.col("truth") * 10000).cast("long"))
 
@@ -405,15 +359,15 @@ def links_parse(spark, sf_dir):
     return links.parse_links(part.select(F.col("p_brand").alias("table_id"), line.alias("value")))
 
 
-@query("""select l_orderkey % 50 as table_id, l_orderkey as "row", cast(l_linenumber as bigint) as col, 'P' || min(l_partkey) as gt, count(*) as n, max(l_partkey) as top from lineitem group by all""")
+@query(
+    """select l_orderkey // 200 as table_id, l_orderkey as "row", cast(l_linenumber % 3 as bigint) as col, 'P' || l_orderkey as gt, count(*) as n,
+    string_agg('P' || l_partkey || ':' || l_suppkey || '.500000000', chr(9) order by l_suppkey desc, 'P' || l_partkey) as listed from lineitem group by all"""
+)
 def linker_group(spark, sf_dir):
-    """The grouped candidates, read back as their number and the best of them."""
+    """The grouped candidates of every cell as they are listed, and its ground truth."""
     lines = star.read(spark, sf_dir, "lineitem")
-    linker = lines.select((F.col("l_orderkey") % 50).alias("table_id"), F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("kg_id"), F.col("l_partkey").cast("double").alias("score"), F.lit(None).cast("string").alias("gt"))
-    first = lines.groupBy((F.col("l_orderkey") % 50).alias("table_id"), F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col")).agg(F.concat(F.lit("P"), F.min("l_partkey").cast("string")).alias("own_gt"))
-    grouped = links.link_candidates(linker).drop("gt").join(first, ["table_id", "row", "col"])
-    listed = F.split("candidates", "\t")
-    return grouped.select("table_id", "row", "col", F.col("own_gt").alias("gt"), F.size(listed).cast("long").alias("n"), F.regexp_extract(F.element_at(listed, 1), r"^P([0-9]+):", 1).cast("long").alias("top"))
+    linker = lines.select(F.expr(f"l_orderkey div {star.ORDERS}").alias("table_id"), F.col("l_orderkey").alias("row"), (F.col("l_linenumber") % 3).alias("col"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("kg_id"), (F.col("l_suppkey") + 0.5).alias("score"), F.concat(F.lit("P"), F.col("l_orderkey").cast("string")).alias("gt"))
+    return links.link_candidates(linker).select("table_id", "row", "col", "gt", F.size(F.split("candidates", "\t")).cast("long").alias("n"), F.col("candidates").alias("listed"))
 
 
 @query(r"""select page_id, regexp_replace(regexp_replace(lower(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '_' || md5(url) as friendly from pages""")
@@ -431,10 +385,11 @@ def pad_ragged(spark, sf_dir):
     return layout.pad(cells)
 
 
-@query("""select cast(0 as bigint) as table_id, conv_id as "row", max(role) filter (turn = 0) as c0, max(role) filter (turn = 1) as c1, max(role) filter (turn = 2) as c2 from conversations group by all""")
+@query("""select cast(0 as bigint) as table_id, conv_id as "row", string_agg(coalesce(role, ''), '|' order by turn) as cells from (select c.conv_id, t.turn, max(v.role) as role from (select distinct conv_id from conversations) c, (select distinct turn from conversations) t left join conversations v on v.conv_id = c.conv_id and v.turn = t.turn group by all) group by conv_id""")
 def matrix_pivot(spark, sf_dir):
     cells = star.read(spark, sf_dir, "conversations").select(F.lit(0).cast("long").alias("table_id"), F.col("conv_id").alias("row"), F.col("turn").alias("col"), F.col("role").alias("value"))
-    return layout.matrix(cells, [0, 1, 2])
+    wide = layout.matrix(cells)
+    return wide.select("table_id", "row", F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), "|").alias("cells"))
 
 
 @query(
@@ -457,5 +412,5 @@ def hierarchy_forest(spark, sf_dir):
 @query(""", ty as (select distinct table_id, col, c.class from cand join (select entity_id, class from cls union select entity_id, parent from cls join par on class = child) c using (entity_id)) select distinct t.table_id, cast(t.col as bigint) as col, t.class from ty t join par on par.parent = t.class join ty u on u.table_id = t.table_id and u.col = t.col and u.class = par.child""")
 def sub_types(spark, sf_dir):
     wide = cg.with_parents(star.classes(spark, sf_dir), star.class_parents(spark, sf_dir))
-    types = star.candidates(spark, sf_dir).join(wide, "entity_id").select("table_id", "col", "class").distinct()
+    types = staged(star.candidates(spark, sf_dir).join(wide, "entity_id").select("table_id", "col", "class").distinct(), "types")
     return features.sub_types(types, star.class_parents(spark, sf_dir))

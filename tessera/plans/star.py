@@ -1,7 +1,8 @@
 """The star-schema tables viewed as a knowledge graph and as linked tables.
 
 Regions, nations, customers, suppliers, orders and parts are entities; foreign keys are statements between them; a line item is a statement
-``has_item`` with qualifiers. Tables of a corpus are groups of orders: one row for a line item, columns order, part, supplier, quantity.
+``has_item`` with qualifiers. A table of the corpus is a block of ORDERS order keys: one row for a line item, columns order, part, supplier,
+quantity. So the number of tables grows with the data, and no table does.
 """
 
 from __future__ import annotations
@@ -10,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Tables that the line items are dealt into.
-TABLES = 50
+#: Order keys that make up a table.
+ORDERS = 200
 #: Columns of such a table.
 ORDER, PART, SUPPLIER, QUANTITY = range(4)
 #: Sub-property pairs (property, ancestor) and the transitive properties.
@@ -66,18 +67,19 @@ def literals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with ``table_id`` and ``row``."""
-    lines = read(spark, sf_dir, "lineitem").withColumn("table_id", F.col("l_orderkey") % TABLES)
+    lines = read(spark, sf_dir, "lineitem").withColumn("table_id", F.expr(f"l_orderkey div {ORDERS}"))
     return lines.withColumn("row", F.row_number().over(Window.partitionBy("table_id").orderBy(*_LINE_ORDER)) - 1)
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``table_id, row, col, entity_id, prob``: linked cells; prob in ten-thousandths."""
-    rows = numbered_rows(spark, sf_dir)
+    """``table_id, row, col, entity_id, prob``: linked cells; prob in ten-thousandths. One scan gives all columns."""
+
+    def cell(col: int, letter: str, key: str, prob: Column) -> Column:
+        return F.struct(F.lit(col).alias("col"), _id(letter, key).alias("entity_id"), prob.alias("prob"))
+
     whole = F.lit(10000).cast("long")
-    order = rows.select("table_id", "row", F.lit(ORDER).alias("col"), _id("O", "l_orderkey").alias("entity_id"), whole.alias("prob"))
-    part = rows.select("table_id", "row", F.lit(PART), _id("P", "l_partkey"), 10000 - _basis_points("l_discount"))
-    supplier = rows.select("table_id", "row", F.lit(SUPPLIER), _id("S", "l_suppkey"), 10000 - _basis_points("l_tax"))
-    return order.union(part).union(supplier)
+    cells = F.array(cell(ORDER, "O", "l_orderkey", whole), cell(PART, "P", "l_partkey", whole - _basis_points("l_discount")), cell(SUPPLIER, "S", "l_suppkey", whole - _basis_points("l_tax")))
+    return numbered_rows(spark, sf_dir).select("table_id", "row", F.explode(cells).alias("c")).select("table_id", "row", "c.*")
 
 
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:

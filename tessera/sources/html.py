@@ -10,13 +10,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources.tables import CANDIDATES, Corpus
+
 LINKS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("href", T.StringType())]))
 CELLS = T.StructType(
     [
@@ -30,6 +32,8 @@ CELLS = T.StructType(
         T.StructField("status", T.StringType()),
     ]
 )
+#: Stands for the page's own address where a link of an encyclopedia to its own page has none.
+SELF = "\0self"
 _NUMBER = re.compile(r"\d+")
 _SILENT = {"script", "style", "noscript"}
 
@@ -74,7 +78,8 @@ class _Reader(HTMLParser):
                 if tag in ("br", "hr"):
                     top["cell"].text += "\n"
                 elif tag == "a":
-                    top["cell"].open.append((len(top["cell"].text), own.get("href") or ""))
+                    itself = "selflink" in (own.get("class") or "").split()
+                    top["cell"].open.append((len(top["cell"].text), own["href"] or "" if "href" in own else SELF if itself else ""))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _SILENT:
@@ -102,25 +107,43 @@ def _span(value: str | None) -> int | None:
 
 
 def expanded(rows: list[list[_Cell]]) -> tuple[str, list[list[_Cell | None]]]:
-    """Each cell copied over its spans. Status ``ok``, ``bad span`` or ``overlap``; rows that a span would add at the end are not."""
+    """Each cell copied over its spans. Status ``ok``, ``bad span``, ``overlap`` or ``too wide``; rows that a span would add at the end are not.
+
+    A table is as wide as the row that has the most cells, counting those that hang into it from above. A last cell that would go on beyond is cut there; any
+    other makes the table too wide.
+    """
+    if any(cell.rowspan is None or cell.colspan is None for row in rows for cell in row):
+        return "bad span", []
+    widths = [len(row) for row in rows]
+    for r, row in enumerate(rows):
+        for cell in row:
+            for down in range(r + 1, min(len(rows), r + cell.rowspan)):
+                widths[down] += 1
+    limit = max(widths, default=0)
     grid: list[dict[int, _Cell]] = [{} for _ in rows]
     for r, row in enumerate(rows):
         c = 0
-        for cell in row:
-            if cell.rowspan is None or cell.colspan is None:
-                return "bad span", []
+        for k, cell in enumerate(row):
             while c in grid[r]:
                 c += 1
-            for down in range(min(cell.rowspan, len(rows) - r)):
-                for right in range(min(cell.colspan, 1000)):
-                    if c + right in grid[r + down]:
-                        return "overlap", []
-                    grid[r + down][c + right] = cell
-            c += cell.colspan
+            for at in range(c, min(c + cell.colspan, max(limit, c + 1))):
+                if at in grid[r]:
+                    return "overlap", []
+                for down in range(r, min(len(rows), r + cell.rowspan)):
+                    grid[down][at] = cell
+                c = at + 1
+            if c >= limit and k < len(row) - 1:
+                return "too wide", []
     width = max((max(g, default=-1) + 1 for g in grid), default=0)
     return "ok", [[g.get(c) for c in range(width)] for g in grid]
 
 
+def _absolute(url: str, href: str) -> str:
+    if href == SELF:
+        return url if (urlsplit(url).hostname or "").endswith("wikipedia.org") else ""
+    return urljoin(url, href) if href.startswith("/") else href
+
+
 def tables_of(url: str, html: str | None) -> Iterator[tuple]:
     reader = _Reader()
     reader.feed(html or "")
@@ -132,7 +155,7 @@ def tables_of(url: str, html: str | None) -> Iterator[tuple]:
         for r, row in enumerate(grid):
             for c, cell in enumerate(row):
                 text, links = cell.finished() if cell else ("", [])
-                yield url, number, r, c, text, bool(cell and cell.header), [(s, e, urljoin(url, h) if h.startswith("/") else h) for s, e, h in links], "ok"
+                yield url, number, r, c, text, bool(cell and cell.header), [(s, e, _absolute(url, h)) for s, e, h in links], "ok"
 
 
 def html_cells(pages: DataFrame) -> DataFrame:
@@ -150,3 +173,27 @@ def linked_cells(cells: DataFrame, sitelinks: DataFrame) -> DataFrame:
     """``url, table, row, col, start, end, href, entity_id``: every link, with the entity its address stands for (``sitelinks``: href, entity_id)."""
     each = cells.where("status = 'ok'").select("url", "table", "row", "col", F.explode("links").alias("x")).select("url", "table", "row", "col", "x.*")
     return each.join(sitelinks, "href", "left").select("url", "table", "row", "col", "start", "end", "href", "entity_id")
+
+
+def title_of(url: Column) -> Column:
+    """The page title that an encyclopedia's address names."""
+    return F.replace(F.url_decode(F.regexp_extract(url, r"/wiki/([^?#]+)", 1)), F.lit("_"), F.lit(" "))
+
+
+def linked_tables(cells: DataFrame, sitelinks: DataFrame, by_title: bool = False) -> Corpus:
+    """Page tables as a corpus: the first row is the header, every link a link of its cell in the order in which links end, the page the context.
+
+    ``sitelinks``: href, entity_id, or with ``by_title`` title, entity_id. A table's id is its page's address and number; a link to an unknown page has no entity.
+    """
+    key = "title" if by_title else "href"
+    known = sitelinks.select(F.col(key).alias("key"), "entity_id")
+    named = cells.where("status = 'ok'").withColumn("table_id", F.concat("url", F.lit("#"), F.col("table").cast("string")))
+    of = lambda c: title_of(c) if by_title else c
+    columns = named.where("row = 0").select("table_id", F.col("col").cast("long").alias("col"), F.col("value").alias("name"))
+    body = named.where("row > 0").withColumn("row", (F.col("row") - 1).cast("long")).withColumn("col", F.col("col").cast("long"))
+    each = body.select("table_id", "row", "col", F.posexplode(F.array_sort(F.transform("links", lambda x: F.struct(x["end"].alias("end"), (-x["start"]).alias("up"), x["href"].alias("href"))))).alias("nr", "x"))
+    each = each.select("table_id", "row", "col", "nr", (-F.col("x.up")).cast("int").alias("start"), F.col("x.end").alias("end"), F.col("x.href").alias("url"), of(F.col("x.href")).alias("key")).join(known, "key", "left")
+    candidates = F.when(F.col("entity_id").isNotNull(), F.array(F.struct("entity_id", F.lit(1.0).alias("prob")))).otherwise(F.array().cast(CANDIDATES))
+    links = each.select("table_id", "row", "col", "nr", "start", "end", "url", "entity_id", candidates.cast(CANDIDATES).alias("candidates"))
+    pages = named.select("table_id", "url").distinct().withColumn("key", of(F.col("url"))).join(known, "key", "left")
+    return Corpus(body.select("table_id", "row", "col", "value"), columns, links, pages.select("table_id", "entity_id", title_of(F.col("url")).alias("title")))

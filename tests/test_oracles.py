@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tessera.plans import queries
+from tessera.plans import annotation, queries, registry  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -26,9 +26,9 @@ def _rows(frame: pd.DataFrame) -> list[str]:
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_same_rows(spark, duck, name):
-    expected = duck.execute(queries.ORACLE_SQL[name]).fetchdf()
-    found = queries.QUERIES[name](spark, DATA).toPandas()
+    expected = duck.execute(registry.ORACLE_SQL[name]).fetchdf()
+    found = registry.QUERIES[name](spark, DATA).toPandas()
     assert sorted(found.columns) == sorted(expected.columns)
     assert _rows(found) == _rows(expected)
