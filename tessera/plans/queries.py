@@ -372,7 +372,7 @@ def linker_group(spark, sf_dir):
 
 @query(r"""select page_id, regexp_replace(regexp_replace(lower(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '_' || md5(url) as friendly from pages""")
 def friendly_id(spark, sf_dir):
-    return star.read(spark, sf_dir, "pages").select("page_id", text.friendly_id(F.col("url")).alias("friendly"))
+    return star.read(spark, sf_dir, "pages").select("page_id", text.slug_id(F.col("url")).alias("friendly"))
 
 
 @query(
