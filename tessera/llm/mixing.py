@@ -77,11 +77,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int
     step = F.floor((F.col("size") / F.pow(F.lit(2.0), power) - 1) * 8).cast("int")
     base = base.withColumn("class", F.when(F.col("size") < 16, F.col("size").cast("int")).otherwise(16 + (power - 4) * 8 + step))
     base = base.withColumn("hash", F.xxhash64("doc_id", "tie", F.lit(seed)))
-    base = _stage.written(base.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))), "sized")
-    n_buckets = max(1, -(-base.count() // bucket_rows))
-    base = base.withColumn("bucket", F.pmod("hash", F.lit(n_buckets)))
-
-    buckets = base.groupBy("key", "source", "class", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    base = base.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
+    sized = _stage.written(base.drop(*kept), "sized")
+    # carried columns are read from the documents again, not written and read on the way
+    base = base if kept else sized
+    n_buckets = max(1, -(-sized.count() // bucket_rows))
+    in_bucket = F.pmod("hash", F.lit(n_buckets)).alias("bucket")
+
+    buckets = sized.withColumn("bucket", in_bucket).groupBy("key", "source", "class", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     buckets = _stage.written(buckets, "buckets")
     sizes = buckets.groupBy("source").agg(F.sum("words").alias("source_size"))
     targets = source_targets(sizes, weights, share_percent, most)
@@ -98,7 +101,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int
     offsets = _stage.written(offsets.select("key", "class", "bucket", "source_size", "target", "expected", "offset"), "offsets")
 
     # merged, not broadcast: documents have to meet by the same key for their own sum anyway
-    placed = base.join(offsets.hint("merge"), ["key", "class", "bucket"])
+    placed = base.withColumn("bucket", in_bucket).join(offsets.hint("merge"), ["key", "class", "bucket"])
     own = Window.partitionBy("key", "class", "bucket").orderBy("size", "doc_id", "tie")
     upto = F.col("offset") + F.sum("expected").over(own.rowsBetween(Window.unboundedPreceding, 0))
     shifted = F.shiftright(upto, UNIT_BITS) - F.shiftright(upto - F.col("expected"), UNIT_BITS)
