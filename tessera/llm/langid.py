@@ -44,7 +44,7 @@ def _letters(text: str) -> str:
     return f" {_NOT_LETTERS.sub(' ', text.lower()).strip()} "
 
 
-def gram_hashes(texts: list[str]) -> Iterator[np.ndarray | None]:
+def run_hashes(texts: list[str]) -> Iterator[np.ndarray | None]:
     """Hashes of the distinct runs of each text; None for a text without a letter."""
     spaced = [_letters(t) for t in texts]
     units = np.frombuffer("".join(spaced).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
@@ -89,7 +89,7 @@ def learn(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT, per_language: i
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and doc_id is not null")
     rows = rows.where(~_stage.held_out("doc_id", *held_out))
     # the first of each language by hash; a histogram of the hashes' first bits says how far these reach, so no task ranks a whole language
-    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash")).withColumn("bin", F.shiftright("hash", 48))
+    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash")).withColumn("bin", F.shiftright("hash", 52))
     order = Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = ids.groupBy("lang", "bin").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
     reach = bins.where(F.col("before") < per_language).groupBy(F.col("lang").alias("of")).agg(F.max("bin").alias("last"))
@@ -106,17 +106,17 @@ def learn(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT, per_language: i
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for first, texts in _text.text_groups(batch.column("text")):
-                for r, own in enumerate(gram_hashes(texts)):
+                for r, own in enumerate(run_hashes(texts)):
                     if own is not None:
                         have.setdefault(langs[first + r], []).append(own)
         for lang, own in have.items():
             found, n = np.unique(np.concatenate(own), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), number[lang], dtype=np.int32)), pa.array(found.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), number[lang], dtype=np.int32)), pa.array(found.view(np.int64)), pa.array(n)], ["lang", "run", "n"])
 
     texts = rows.join(F.broadcast(sample), ["doc_id", "lang"]).select("lang", "text")
-    counts = texts.mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(count, "lang int, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
     share = F.col("n") / F.element_at(F.array(*[F.lit(float(sizes[x])) for x in languages] or [F.lit(1.0)]), F.col("lang") + 1)
-    most = F.max("share").over(Window.partitionBy("gram"))
+    most = F.max("share").over(Window.partitionBy("run"))
     kept = counts.withColumn("share", share).withColumn("most", most).where((F.col("n") >= LEAST_DOCS) & (F.col("share") >= LEAST_PART * F.col("most")))
     words = max(1, -(-len(languages) // 64))
     block = 1 << 12
@@ -125,14 +125,14 @@ def learn(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT, per_language: i
         masks = np.zeros((positions, words), dtype=np.uint64)
         for batch in batches:
             lang = batch.column("lang").to_numpy().astype(np.int64)
-            for p in _probes(batch.column("gram").to_numpy().view(np.uint64), positions):
+            for p in _probes(batch.column("run").to_numpy().view(np.uint64), positions):
                 np.bitwise_or.at(masks, (p, lang // 64), np.uint64(1) << (lang % 64).astype(np.uint64))
         for b in range(0, positions, block):
             if masks[b : b + block].any():
                 yield pa.RecordBatch.from_pydict({"block": pa.array([b // block], pa.int32()), "bits": pa.array([masks[b : b + block].tobytes()], pa.binary())})
 
     masks = np.zeros((positions, words), dtype=np.uint64)
-    for row in kept.select("lang", "gram").coalesce(8).mapInArrow(build, "block int, bits binary").toLocalIterator():
+    for row in kept.select("lang", "run").coalesce(8).mapInArrow(build, "block int, bits binary").toLocalIterator():
         own = np.frombuffer(bytes(row["bits"]), dtype=np.uint64).reshape(-1, words)
         masks[row["block"] * block :][: len(own)] |= own
     return LanguageFilter(languages, masks)
@@ -144,7 +144,7 @@ def identify(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT, per_language
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(own) for _, texts in _text.text_groups(batch.column("text")) for own in gram_hashes(texts)]
+            found = [shared.value.predict(own) for _, texts in _text.text_groups(batch.column("text")) for own in run_hashes(texts)]
             langs, scores = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
