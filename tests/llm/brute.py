@@ -117,3 +117,73 @@ def components(docs: list[tuple]) -> dict:
             x, y = sorted((find(a), find(b)))
             parent[y] = x
     return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+def lm_scores(docs: list[tuple], most: float = 0.5, part: float = 100.0) -> dict:
+    """log10 probability by exact counts: a pair's share of its first word, interpolated with the word's own."""
+    words = {d: [*SPACED.findall((t or "").translate(LOWER)), None] for d, t in docs}
+    seen = {d: own for d, own in words.items() if crc(d, 10) != 0}
+    single = Counter(w for own in seen.values() for w in own)
+    pairs = Counter(p for own in seen.values() for p in zip(["<s>", *own], own))
+    total, distinct, starts = sum(single.values()), len(single), len(seen)
+    out = {}
+    for d, own in words.items():
+        score = 0.0
+        for v, w in zip(["<s>", *own], own):
+            context = starts if v == "<s>" else single[v]
+            share = min(most, context / (context + part))
+            joint = min(1.0, pairs[v, w] / max(context, 1))
+            score += log10(share * joint + (1 - share) * (single[w] + 0.1) / (total + 0.1 * (distinct + 1)))
+        out[d] = (len(own), score)
+    return out
+
+
+def log_ratio_scores(docs: list[tuple], trusted: set, buckets: int) -> dict:
+    """Mean over words and word pairs of log(p_trusted / p_all), features hashed as 64-bit XXH64 with seed 42 into buckets."""
+    import struct
+    from math import log
+
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    word = lambda w: signed(xxhash.xxh64(w.encode(), seed=42).intdigest())
+    pair = lambda a, b: signed(xxhash.xxh64(struct.pack("<q", b), seed=xxhash.xxh64(struct.pack("<q", a), seed=42).intdigest()).intdigest())
+    features = {}
+    for d, t in docs:
+        hashes = [word(w) for w in SPACED.findall(t or "")]
+        features[d] = [h % buckets for h in hashes] + [pair(a, b) % buckets for a, b in zip(hashes, hashes[1:])]
+    own, every = Counter(f for d in trusted for f in features[d]), Counter(f for x in features.values() for f in x)
+    n_own, n = sum(own.values()), sum(every.values())
+    ratio = lambda f: log((own[f] + 1) / (n_own + buckets)) - log((every[f] + 1) / (n + buckets))
+    return {d: sum(map(ratio, x)) / len(x) if x else 0.0 for d, x in features.items()}
+
+
+def languages(docs: list[tuple], n: int, least_docs: int, least_part: float) -> dict:
+    """By exact sets of letter runs: the language that holds the largest part of a text's runs, and that part."""
+    letters = re.compile(r"[\W\d_]+")
+
+    def runs(text: str | None) -> set | None:
+        plain = letters.sub(" ", (text or "").lower()).strip()
+        return {(f" {plain} ")[i : i + n] for i in range(len(plain) + 3 - n)} if plain else None
+
+    learned = [(lang, runs(t)) for d, t, lang in docs if lang is not None and crc(d, 4) != 2]
+    counts: dict = {}
+    sizes = Counter(lang for lang, _ in learned)
+    for lang, own in learned:
+        counts.setdefault(lang, Counter()).update(own or ())
+    share = {lang: {r: k / sizes[lang] for r, k in c.items()} for lang, c in counts.items()}
+    best: Counter = Counter()
+    for own in share.values():
+        for r, x in own.items():
+            best[r] = max(best[r], x)
+    kept = {lang: {r for r, x in own.items() if counts[lang][r] >= least_docs and x >= least_part * best[r]} for lang, own in share.items()}
+    out = {}
+    for d, t, _ in docs:
+        own = runs(t)
+        if own is None or not kept:
+            out[d] = ("und", 0.0)
+        else:
+            found = {lang: len(own & kept[lang]) for lang in sorted(kept)}
+            top = max(sorted(found), key=lambda x: found[x])
+            out[d] = (top, found[top] / len(own) if own else 0.0)
+    return out

@@ -7,7 +7,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, jaccard_join, langid, lm_bloom, mixing, pii, quality, quality_rules, queries, toxicity, warc
+from tessera.llm import _nbsvm, decontam, jaccard_join, langid, lm_bloom, mixing, pii, quality, quality_rules, queries, toxicity, warc
 
 WORDS = [f"w{k}" for k in range(400)]
 
@@ -300,6 +300,77 @@ def test_mixing(spark, docs):
     assert mixing.mix(_empty(spark)).count() == 0
 
 
+def test_mix_takes_near_its_targets(spark):
+    """Words taken of a source differ from its target by less than a few of its documents; reruns and other partitions agree."""
+    rng = random.Random(6)
+    rows = [(i, " ".join("w" * rng.randint(1, 120)) if i % 9 else None, rng.choice(["a", "b", "c", "d", None])) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix(docs, bucket_rows=200).collect()
+    taken, target, largest = {}, {}, {}
+    for r, (_, _, s) in zip(sorted(found, key=lambda r: r["doc_id"]), rows, strict=True):
+        taken[s] = taken.get(s, 0) + r["taken"]
+        target[s], largest[s] = r["target"], max(largest.get(s, 0), r["size"])
+    assert all(abs(taken[s] - target[s]) <= 2 * largest[s] + 0.01 * target[s] for s in target)
+    again = mixing.mix(docs.repartition(7), bucket_rows=200).collect()
+    assert sorted(map(str, found)) == sorted(map(str, again))
+
+
+def test_lm_scores_against_exact_counts(spark):
+    """Counts are read back within a quarter of a doubling; what is left are false positives of the filters."""
+    rng = random.Random(14)
+    rows = [(i, " ".join(f"v{min(int(rng.expovariate(0.05)), 150)}" for _ in range(rng.randint(1, 80)))) for i in range(300)] + [(900, None), (901, "never seen words")]
+    expected = brute.lm_scores(rows)
+    found = {r["doc_id"]: r for r in lm_bloom.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    off = [abs(found[d]["score"] - score) / n for d, (n, score) in expected.items()]
+    assert max(off) < 0.25 and sum(off) / len(off) < 0.08
+
+
+def test_quality_verdicts_against_plain_ratios(spark, docs, plain):
+    trusted = set(range(20))
+    found = {r["doc_id"]: r for r in quality_rules.apply_rules(docs, docs.select("doc_id").where("doc_id < 20"), buckets=500).collect()}
+    expected = brute.log_ratio_scores(plain, trusted, 500)
+    for d, t in plain:
+        assert found[d]["score"] == pytest.approx(expected[d], abs=1e-4)
+        assert found[d]["kept"] == (not brute.rules(t)["base_failed"] and expected[d] >= quality_rules.THRESHOLD)
+
+
+def test_languages_against_exact_sets(spark):
+    rng = random.Random(15)
+    stems = {"xx": "lorem ipsum dolor sit amet".split(), "yy": "lore ipse dolo sitt amat".split(), "zz": "foo bar baz qux".split()}
+    rows = [(i, " ".join(rng.choice(stems[lang]) for _ in range(rng.randint(1, 12))), lang) for i, lang in enumerate(["xx", "yy", "zz"] * 50)] + [(900, "§ 12", "xx"), (901, "lorem foo", None), (902, None, "yy")]
+    expected = brute.languages(rows, langid.N, langid.LEAST_DOCS, langid.LEAST_PART)
+    for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect():
+        lang, score = expected[r["doc_id"]]
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=0.02)
+
+
+def test_hinge_fit_is_optimal_and_its_features_are_plain():
+    """Ratios equal plain counts, and the dual and primal objectives of the fitted machine meet."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["good", "fine", "nice", "bad", "poor", "dull"], 6, p=[0.25, 0.2, 0.2, 0.15, 0.1, 0.1] if k % 2 else [0.1, 0.1, 0.15, 0.2, 0.2, 0.25])) for k in range(120)]
+    labels = np.array([k % 2 for k in range(120)])
+    makes = _nbsvm.Indicators((3, 5), 14)
+    rows = [np.sort(s) for s in makes.of(pa.array(texts))]
+    assert all(len(np.unique(s)) == len(s) for s in rows)
+    runs = [{f"\n{t}\n"[i : i + n] for n in (3, 5) for i in range(len(t) + 3 - n)} for t in texts]
+    assert all(len(s) <= len(x) and len(s) >= len(x) - 2 for s, x in zip(rows, runs, strict=True))  # two runs may share a slot
+    ratios = _nbsvm.log_count_ratios(rows, labels, 1 << 14)
+    counts = np.stack([np.bincount(np.concatenate([s for s, y in zip(rows, labels, strict=True) if y == k]), minlength=1 << 14) for k in (0, 1)])
+    plain = np.log((counts[1] + 1) / (counts[1] + 1).sum()) - np.log((counts[0] + 1) / (counts[0] + 1).sum())
+    used = (counts.sum(axis=0) >= 3) & (np.abs(plain) >= 0.4)
+    assert np.allclose(ratios, np.where(used, plain, 0.0))
+    w, bias = _nbsvm.fit_hinge(rows, labels, ratios, epochs=400)
+    scaled = [(s, ratios[s] / max(1e-9, np.sqrt(ratios[s] @ ratios[s]))) for s in rows]
+    cost = lambda w, b: 0.5 * (w @ w + b * b) + sum(max(0.0, 1 - (1 if y else -1) * (w[s] @ v + b)) for (s, v), y in zip(scaled, labels, strict=True))
+    best = cost(w, bias)
+    for _ in range(200):  # a convex objective: no small step in any direction lowers it
+        step = rng.normal(size=len(w)) * (ratios != 0) * 0.01
+        assert cost(w + step, bias + rng.normal() * 0.01) >= best - 1e-3
+
+
 def test_personal_data_with_long_tokens_and_long_words_of_context(spark):
     """A token whose first digit comes after 70 letters is an instance, and a word of 100 letters stands whole in a pattern."""
     word = "w" * 100
