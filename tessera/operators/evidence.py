@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -101,10 +103,10 @@ def relation_shares(frequency: DataFrame, possible: DataFrame, unmatched: DataFr
     )
 
 
-def header_similarity(asked: DataFrame, label: str, header: str) -> DataFrame:
+def header_similarity(asked: DataFrame, label: str, header: str, similarity: Callable[[Column, Column], Column] = text.soft_jaccard) -> DataFrame:
     """``asked`` with ``similarity`` of two text columns, computed once for each pair of texts that occurs."""
     pairs = asked.select(label, header).distinct()
-    return asked.join(pairs.withColumn("similarity", text.soft_jaccard(F.col(label), F.col(header))), [label, header], "left")
+    return asked.join(pairs.withColumn("similarity", similarity(F.col(label), F.col(header))), [label, header], "left")
 
 
 def value_keys(cells: DataFrame, links: DataFrame) -> DataFrame:

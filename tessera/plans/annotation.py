@@ -144,14 +144,14 @@ def dg_value_flow(spark, sf_dir):
 
 
 @query(
-    """, l as (select c_custkey % 5 as table_id, 'C' || c_custkey as src, 'R' || n_regionkey as dst, 'C' || c_custkey as entity_id from customer join nation on n_nationkey = c_nationkey)
+    """, l as (select c_custkey // 100 as table_id, 'C' || c_custkey as src, 'R' || n_regionkey as dst, 'C' || c_custkey as entity_id from customer join nation on n_nationkey = c_nationkey)
     select table_id, src, 'located_in' as prop, entity_id || '|located_in|' || (case when cast(substr(src, 2) as bigint) % 2 = 0 then 7 else 9 end) as stmt, dst, cast(substr(src, 2) as bigint) % 2 = 0 as in_graph from l"""
 )
 def dg_infer_apply(spark, sf_dir):
     """Customers in nations in regions, one property: what follows takes the customer's statement with that value, or a new one with the next index."""
     customer, nation = star.read(spark, sf_dir, "customer"), star.read(spark, sf_dir, "nation")
     name = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
-    table = (F.col("c_custkey") % 5).alias("table_id")
+    table = F.expr("c_custkey div 100").alias("table_id")
     leg = lambda df, src, dst: df.select("table_id", src.alias("src"), F.lit("located_in").alias("prop"), F.concat(src, F.lit("|located_in|0")).alias("stmt"), dst.alias("dst"), F.lit("located_in").alias("pred"), F.lit(flow.LINK).alias("method"), F.lit("").alias("arg"), F.lit(1.0).alias("prob"))
     up = leg(customer.select(table, "c_custkey", "c_nationkey"), name("C", "c_custkey"), name("N", "c_nationkey"))
     over = leg(customer.select(table).distinct().crossJoin(nation), name("N", "n_nationkey"), name("R", "n_regionkey"))
@@ -486,7 +486,7 @@ def select_valid_statements(spark, sf_dir):
     return steiner.with_statement_values(whole.where("pred = 'supplied_by' or (pred = 'has_item' and dst like 'stmt:%')"), whole).select("table_id", "src", "dst", "pred")
 
 
-@query(_LINKS + " select table_id, src, dst, pred from ce where pred <> 'in_nation' or src = 'col:2' and false")
+@query(_LINKS + " select table_id, src, dst, pred from ce where pred <> 'in_nation'")
 def select_entity_cleanup(spark, sf_dir):
     """Without the entities that only end a statement: here the nations, where they are no context."""
     whole = _weighed(_linked_flow(spark, sf_dir))
@@ -686,11 +686,11 @@ def hlmrf_coupled(spark, sf_dir):
     return hlmrf.solve(ground).withColumn("truth", F.round(F.col("truth") * 1000).cast("long"))
 
 
-@query("""select p_brand as g, p_partkey as id, cast(round(avg(v) over (partition by p_brand, island)) as bigint) as mean from (select *, cast(sum(jump) over (partition by p_brand order by v, p_partkey) as bigint) as island from (select *, case when v - lag(v) over (partition by p_brand order by v, p_partkey) > 500 then 1 else 0 end as jump from (select p_brand, p_partkey, cast(round(p_retailprice * 100) as bigint) as v from part where p_retailprice >= 1000)))""")
+@query("""select g, p_partkey as id, cast(round(avg(v) over (partition by g, island)) as bigint) as mean from (select *, cast(sum(jump) over (partition by g order by v, p_partkey) as bigint) as island from (select *, case when v - lag(v) over (partition by g order by v, p_partkey) > 500 then 1 else 0 end as jump from (select p_partkey // 200 as g, p_partkey, cast(round(p_retailprice * 100) as bigint) as v from part where p_retailprice >= 905)))""")
 def prob_smoothing(spark, sf_dir):
     """Values below a threshold are dropped, others become the mean of their cluster."""
-    part = star.read(spark, sf_dir, "part").select(F.col("p_brand").alias("g"), F.col("p_partkey").alias("id"), F.round(F.col("p_retailprice") * 100).cast("long").alias("value"))
-    return flow.smoothed(part, 500, ["g"], 100_000).select("g", "id", F.round("mean").cast("long").alias("mean"))
+    part = star.read(spark, sf_dir, "part").select(F.expr("p_partkey div 200").alias("g"), F.col("p_partkey").alias("id"), F.round(F.col("p_retailprice") * 100).cast("long").alias("value"))
+    return flow.smoothed(part, 500, ["g"], 90_500).select("g", "id", F.round("mean").cast("long").alias("mean"))
 
 
 @query("""select table_id, cast(u.col as bigint) as col, class, cast(freq as bigint) as freq from (select table_id, col, class, sum(prob) as freq from (select table_id, "row", col, class, max(prob) as prob from cand join cls using (entity_id) group by all) group by all) u where col = 1 qualify row_number() over (partition by table_id, col order by freq desc, class) = 1""")

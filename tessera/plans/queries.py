@@ -110,12 +110,11 @@ def value_search(spark, sf_dir):
     return found.select("table_id", "row", "src_col", "src", "prop", "confidence")
 
 
-@query("""select p_partkey, p_name, s_suppkey from part join supplier on trim(p_brand) = 'Brand#' || (s_suppkey % 60) """)
+@query("""select p_partkey, p_name from part where trim(p_brand) = 'Brand#' || (1 + p_partkey % 25)""")
 def match_string(spark, sf_dir):
-    """Exact matches planned as an equi-join on the normalised text."""
-    part = star.read(spark, sf_dir, "part").withColumn("key", text.norm_string(F.col("p_brand")))
-    supplier = star.read(spark, sf_dir, "supplier").withColumn("key", F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 60).cast("string")))
-    return part.join(supplier, "key").select("p_partkey", "p_name", "s_suppkey")
+    """Parts whose brand is what their cell says, but for spaces."""
+    cell = F.concat(F.lit("\u00a0 Brand#"), (1 + F.col("p_partkey") % 25).cast("string"), F.lit(" "))
+    return star.read(spark, sf_dir, "part").where(matchers.match("string_exact_test", F.col("p_brand"), cell) == 1.0).select("p_partkey", "p_name")
 
 
 @query(
@@ -144,10 +143,10 @@ def match_similarity(spark, sf_dir):
 
 
 def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers in nations and nations in regions as flows of one table for each market segment."""
+    """Customers in nations and nations in regions as flows, a table for each block of customers."""
     customer = star.read(spark, sf_dir, "customer")
     nation = star.read(spark, sf_dir, "nation")
-    table = (F.col("c_custkey") % 5).alias("table_id")
+    table = F.expr("c_custkey div 100").alias("table_id")
     up = customer.select(table, F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("src"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("dst"), F.lit("in_nation").alias("prop"), F.lit("s1").alias("stmt"), F.lit(flow.LINK).alias("method"), F.lit("").alias("arg"), (5000 + F.col("c_custkey") % 5000).alias("prob"))
     tables = customer.select(table).distinct()
     region = tables.crossJoin(nation).select("table_id", F.concat(F.lit("N"), F.col("n_nationkey").cast("string")), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")), F.lit("in_region"), F.lit("s2"), F.lit(flow.LINK), F.lit(""), F.lit(9000).cast("long"))
@@ -155,8 +154,8 @@ def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return up.union(region).union(used)
 
 
-_FLOW = """, t as (select distinct c_custkey % 5 as table_id from customer),
-    fl as (select c_custkey % 5 as table_id, 'C' || c_custkey as src, 'N' || c_nationkey as dst, 'in_nation' as prop, 's1' as stmt, 'from_wikidata_link' as method, '' as arg, cast(5000 + c_custkey % 5000 as bigint) as prob from customer
+_FLOW = """, t as (select distinct c_custkey // 100 as table_id from customer),
+    fl as (select c_custkey // 100 as table_id, 'C' || c_custkey as src, 'N' || c_nationkey as dst, 'in_nation' as prop, 's1' as stmt, 'from_wikidata_link' as method, '' as arg, cast(5000 + c_custkey % 5000 as bigint) as prob from customer
         union all select table_id, 'N' || n_nationkey, 'R' || n_regionkey, 'in_region', 's2', 'from_wikidata_link', '', 9000 from t, nation
         union all select table_id, 'N0', 'R0', 'located_in', 's3', 'from_literal_matching_function', 'x', 100 from t)"""
 
@@ -284,12 +283,12 @@ def domain_range_semi(spark, sf_dir):
 
 
 @query(
-    """, v as (select p_brand as g, p_partkey as id, cast(round(p_retailprice * 100) as bigint) as value from part),
+    """, v as (select p_partkey // 200 as g, p_partkey as id, cast(round(p_retailprice * 100) as bigint) as value from part),
     j as (select *, case when value - lag(value) over (partition by g order by value, id) > 500 then 1 else 0 end as jump from v), i as (select g, id, value, cast(sum(jump) over (partition by g order by value, id) as bigint) as island from j)
     select *, cast(sum(value) over (partition by g, island) as bigint) as island_sum, count(*) over (partition by g, island) as island_n from i"""
 )
 def prob_islands(spark, sf_dir):
-    values = star.read(spark, sf_dir, "part").select(F.col("p_brand").alias("g"), F.col("p_partkey").alias("id"), F.round(F.col("p_retailprice") * 100).cast("long").alias("value"))
+    values = star.read(spark, sf_dir, "part").select(F.expr("p_partkey div 200").alias("g"), F.col("p_partkey").alias("id"), F.round(F.col("p_retailprice") * 100).cast("long").alias("value"))
     return flow.islands(values, 500, ["g"])
 
 
@@ -303,16 +302,17 @@ def hlmrf_independent(spark, sf_dir):
     return hlmrf.solve(ground).withColumn("truth", F.round(F.col("truth") * 10000).cast("long"))
 
 
-_EDGES = """, e as (select distinct o_custkey % 20 as table_id, 'o' || (o_orderkey % 7) as src, 'stmt:' || o_orderpriority as dst, cast(o_orderkey % 100 as bigint) as prob from orders
-        union all select distinct o_custkey % 20, 'stmt:' || o_orderpriority, 'c' || (o_custkey % 3), cast(o_custkey % 50 as bigint) from orders), ee as (select table_id, src, dst, max(prob) as prob from e group by all)"""
+_EDGES = """, e as (select o_custkey as table_id, 'o' || o_orderkey as src, 'stmt:' || o_orderpriority as dst, cast(o_orderkey % 100 as bigint) as prob from orders
+        union all select distinct o_custkey, 'stmt:' || o_orderpriority, 'c' || o_custkey, cast(o_custkey % 50 as bigint) from orders), ee as (select table_id, src, dst, max(prob) as prob from e group by all)"""
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph for each customer: orders, their priorities as statements, and the customer; graphs grow in number, not in size."""
     orders = star.read(spark, sf_dir, "orders")
-    table = (F.col("o_custkey") % 20).alias("table_id")
+    table = F.col("o_custkey").alias("table_id")
     stmt = F.concat(F.lit("stmt:"), "o_orderpriority")
-    into = orders.select(table, F.concat(F.lit("o"), (F.col("o_orderkey") % 7).cast("string")).alias("src"), stmt.alias("dst"), (F.col("o_orderkey") % 100).alias("prob"))
-    out = orders.select(table, stmt, F.concat(F.lit("c"), (F.col("o_custkey") % 3).cast("string")), F.col("o_custkey") % 50)
+    into = orders.select(table, F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("src"), stmt.alias("dst"), (F.col("o_orderkey") % 100).alias("prob"))
+    out = orders.select(table, stmt, F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.col("o_custkey") % 50)
     return into.union(out).groupBy("table_id", "src", "dst").agg(F.max("prob").alias("prob"))
 
 
@@ -327,8 +327,9 @@ def select_known_targets(spark, sf_dir):
     return selection.known_targets(relations, relations.where(F.col("src_col") == star.ORDER).select("table_id", "src_col", "dst_col").distinct())
 
 
-@query()
+@query(_EDGES + """ select table_id, src, dst, 101 - prob as weight from ee qualify row_number() over (partition by table_id, dst order by 101 - prob, src) = 1""")
 def select_arborescence(spark, sf_dir):
+    """These graphs have no cycles, so every node's cheapest way in is the arborescence."""
     return selection.arborescences(_edges(spark, sf_dir).select("table_id", "src", "dst", (101 - F.col("prob")).alias("weight")))
 
 
@@ -393,11 +394,11 @@ def matrix_pivot(spark, sf_dir):
 
 
 @query(
-    """, e as (select user_id % 100 as g, event_id as pos, event_type from events), c as (select *, case when event_type <> lag(event_type) over (partition by g order by pos) then 1 else 0 end as ch from e), i as (select *, cast(sum(ch) over (partition by g order by pos) as bigint) as island from c)
+    """, e as (select user_id as g, event_id as pos, event_type from events), c as (select *, case when event_type <> lag(event_type) over (partition by g order by pos) then 1 else 0 end as ch from e), i as (select *, cast(sum(ch) over (partition by g order by pos) as bigint) as island from c)
     select g, island, event_type, count(*) as n, min(pos) as first, max(pos) as last from i group by all"""
 )
 def compact_runs(spark, sf_dir):
-    items = star.read(spark, sf_dir, "events").select((F.col("user_id") % 100).alias("g"), F.col("event_id").alias("pos"), "event_type")
+    items = star.read(spark, sf_dir, "events").select(F.col("user_id").alias("g"), F.col("event_id").alias("pos"), "event_type")
     return layout.compact_runs(items, ["g"], "pos", "event_type")
 
 
@@ -409,6 +410,14 @@ def hierarchy_forest(spark, sf_dir):
     return features.transitive_reduction(parents.union(star.read(spark, sf_dir, "part").select("p_type", F.lit("goods"))))
 
 
+@query(""" select child as class, 'goods/' || parent || '/' || child as path, cast(2 as bigint) as depth, false as is_repeated from par0 union all select distinct parent, 'goods/' || parent, 1, false from par0 union all select 'goods', 'goods', 0, false""")
+def hierarchy_preorder(spark, sf_dir):
+    """Part types and the classes above them as a forest, in pre-order by path."""
+    parents = star.class_parents(spark, sf_dir)
+    found = features.forest(parents.select(F.col("child").alias("class")).union(parents.select("parent")), parents)
+    return found.select("class", F.array_join("path", "/").alias("path"), F.col("depth").cast("long").alias("depth"), "is_repeated")
+
+
 @query(""", ty as (select distinct table_id, col, c.class from cand join (select entity_id, class from cls union select entity_id, parent from cls join par on class = child) c using (entity_id)) select distinct t.table_id, cast(t.col as bigint) as col, t.class from ty t join par on par.parent = t.class join ty u on u.table_id = t.table_id and u.col = t.col and u.class = par.child""")
 def sub_types(spark, sf_dir):
     wide = cg.with_parents(star.classes(spark, sf_dir), star.class_parents(spark, sf_dir))

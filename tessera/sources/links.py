@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def parse_links(lines: DataFrame, top_k: int = 100) -> DataFrame:
@@ -14,8 +13,8 @@ def parse_links(lines: DataFrame, top_k: int = 100) -> DataFrame:
     candidates. Ids may be URIs and may carry ``:probability``. At most ``top_k`` candidates are read.
     """
     fields = lines.withColumn("f", F.split("value", "\t")).withColumn("ids", F.slice("f", 3, top_k + 1))
-    alone = F.max(F.size("ids")).over(Window.partitionBy("table_id")) == 1
-    named = fields.withColumn("alone", alone).select("table_id", F.element_at("f", 1).cast("long").alias("row"), F.element_at("f", 2).cast("long").alias("col"), F.element_at("ids", 1).alias("first"), F.when(F.col("alone"), F.col("ids")).otherwise(F.expr("slice(ids, 2, size(ids))")).alias("rest"))
+    alone = fields.groupBy("table_id").agg((F.max(F.size("ids")) == 1).alias("alone"))
+    named = fields.join(alone, "table_id").select("table_id", F.element_at("f", 1).cast("long").alias("row"), F.element_at("f", 2).cast("long").alias("col"), F.element_at("ids", 1).alias("first"), F.when(F.col("alone"), F.col("ids")).otherwise(F.expr("slice(ids, 2, size(ids))")).alias("rest"))
     key = lambda c: F.regexp_extract(c, r"([A-Z][0-9]+)(?::[0-9.eE+-]+)?$", 1)
     each = named.select("table_id", "row", "col", F.nullif(key("first"), F.lit("")).alias("entity_id"), F.posexplode_outer("rest").alias("rank", "one"))
     prob = F.nullif(F.regexp_extract("one", r":([0-9.eE+-]+)$", 1), F.lit("")).cast("double")

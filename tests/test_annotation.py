@@ -284,3 +284,15 @@ def test_models_as_dot_and_merged_claims(spark):
     assert model.as_dot(nodes, edges).first()["dot"].startswith("digraph {\n")
     claims = spark.createDataFrame([(1, 0, "Q1", "p", "s", None, "x"), (1, 0, "Q1", "p", "t", None, "x")], "table_id long, row long, entity string, prop string, stmt string, qual string, value string")
     assert model.merged_entities(claims).first()["props"].count('"x"') == 1
+
+
+def test_forest_repeats_a_class_under_each_parent(spark):
+    from tessera.operators import features
+
+    parents = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("a", "d"), ("e", "x"), ("x", "c")], "child string, parent string")
+    asked = spark.createDataFrame([(c,) for c in "acdez"], "class string")
+    found = {("/".join(r["path"]), r["depth"], r["is_repeated"]) for r in features.forest(asked, parents).collect()}
+    assert found == {("c", 0, False), ("d", 0, False), ("c/a", 1, False), ("d/a", 1, True), ("c/e", 1, False)}
+    assert {(r["child"], r["parent"]) for r in features.transitive_reduction(parents).collect()} == {("a", "b"), ("b", "c"), ("a", "d"), ("e", "x"), ("x", "c")}
+    with pytest.raises(Exception, match="above itself"):
+        features.forest(asked, parents.union(spark.createDataFrame([("c", "a")], "child string, parent string"))).collect()
