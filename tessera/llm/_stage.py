@@ -42,3 +42,19 @@ def columns_of(df: DataFrame, **kinds: str) -> DataFrame:
 
 def long_field(name: str) -> T.StructField:
     return T.StructField(name, T.LongType())
+
+
+#: A key that holds one row in HOT, or more, is joined by broadcast.
+HOT = 1000
+
+
+def spread_join(rows: DataFrame, by_key: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` joined with ``by_key``, which has one row for each key and in ``n`` how many of ``rows`` hold it; ``total`` is how many rows there are.
+
+    Keys with a thousandth of all rows or more are few whatever the input's size (HOT, or HOT for each sort of key that every row has one of), so their
+    rows stay where they are; all others shuffle, and no task gets a hot key.
+    """
+    is_hot = F.col("n") * HOT >= total
+    hot = by_key.where(is_hot)
+    met = rows.join(F.broadcast(hot), keys)
+    return met.unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(by_key.where(~is_hot), keys))

@@ -412,4 +412,4 @@ def test_warc_round_trip(spark, tmp_path):
 
 
 def test_queries_are_named_for_their_operators():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
