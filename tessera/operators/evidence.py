@@ -171,6 +171,18 @@ def accepted_classes(relations: DataFrame, types: DataFrame, declared: DataFrame
     return asked.join(declared.select("prop", "class").distinct(), ["prop", "class"], "left_semi").select("table_id", "prop", "class").unionByName(asked.where(F.col("prop").isin(any_class))).distinct()
 
 
+def not_range(types: DataFrame, incoming: DataFrame, subjects: DataFrame, closure: DataFrame) -> DataFrame:
+    """``prop, class``: candidate classes of nodes that a property leads to which neither are nor lie under any of the property's declared classes.
+
+    ``types``: table_id, node, class; ``incoming``: table_id, node, prop; ``subjects``: prop, class, whose properties alone are judged; ``closure``: child, ancestor.
+    """
+    declared = subjects.select("prop", "class").distinct()
+    asked = incoming.join(declared.select("prop").distinct(), "prop", "left_semi").join(types, ["table_id", "node"]).select("prop", "class").distinct()
+    within = asked.join(closure, asked["class"] == closure["child"]).select("prop", asked["class"], "ancestor")
+    allowed = within.join(declared.withColumnRenamed("class", "ancestor"), ["prop", "ancestor"], "left_semi").select("prop", "class").union(declared)
+    return asked.join(allowed, ["prop", "class"], "left_anti")
+
+
 def ancestors(parents: DataFrame, steps: int = 100) -> DataFrame:
     """``child, ancestor, distance``: every class above another and its least distance, step by step until nothing new is reached."""
     edges = staged(parents.select("child", "parent").distinct(), "parents")

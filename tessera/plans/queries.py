@@ -79,7 +79,7 @@ def kg_entity_expand(spark, sf_dir):
     return kg.expand(ids, star.statements(spark, sf_dir), star.qualifiers(spark, sf_dir))
 
 
-@query("""select u.table_id, u."row", cast(u.col as bigint) as col_u, cast(v.col as bigint) as col_v from cand u join cand v on u.table_id = v.table_id and u."row" = v."row" and u.col < v.col""")
+@query("""select table_id, "row", cast(p[1] as bigint) as col_u, cast(p[2] as bigint) as col_v from nr, (select unnest([[0, 1], [0, 2], [1, 2]]) as p)""")
 def cell_pairs(spark, sf_dir):
     return paths.cell_pairs(star.candidates(spark, sf_dir))
 
@@ -344,12 +344,13 @@ def sm_minify_normalize(spark, sf_dir):
 
 
 @query(
-    """, c as (select table_id, "row", cast(col as bigint) as col, case when prob < 9500 then null else entity_id end as entity_id, entity_id as value from cand), m as (select * from (values (0, 1, 'has_item'), (0, 2, 'supplied_by')) as v(src_col, dst_col, prop))
-    select u.table_id, u."row", coalesce(u.entity_id, u."row" || '-' || u.col) as subject, m.prop, coalesce(v.entity_id, v.value) as value from c u join m on m.src_col = u.col join c v on v.table_id = u.table_id and v."row" = u."row" and v.col = m.dst_col"""
+    """select table_id, "row", 'O' || l_orderkey as subject, 'has_item' as prop, case when round(l_discount * 10000) > 500 then 'text ' else '' end || 'P' || l_partkey as value from nr
+    union all select table_id, "row", 'O' || l_orderkey, 'supplied_by', case when round(l_tax * 10000) > 500 then 'text ' else '' end || 'S' || l_suppkey from nr
+    union all select table_id, "row", case when round(l_discount * 10000) > 500 then "row" || '-1' else 'P' || l_partkey end, 'sold_by', case when round(l_tax * 10000) > 500 then 'text ' else '' end || 'S' || l_suppkey from nr"""
 )
 def claims_extract(spark, sf_dir):
-    cells = star.candidates(spark, sf_dir).withColumn("value", F.col("entity_id")).withColumn("entity_id", F.when(F.col("prob") >= 9500, F.col("entity_id")))
-    relations = cells.select("table_id").distinct().select("table_id", F.explode(F.array(*[F.struct(F.lit(star.ORDER).alias("src_col"), F.lit(c).alias("dst_col"), F.lit(p).alias("prop")) for c, p in ((star.PART, "has_item"), (star.SUPPLIER, "supplied_by"))])).alias("x")).select("table_id", "x.*")
+    cells = star.candidates(spark, sf_dir).withColumn("value", F.concat(F.lit("text "), "entity_id")).withColumn("entity_id", F.when(F.col("prob") >= 9500, F.col("entity_id")))
+    relations = cells.select("table_id").distinct().select("table_id", F.explode(F.array(*[F.struct(F.lit(s).alias("src_col"), F.lit(c).alias("dst_col"), F.lit(p).alias("prop")) for s, c, p in ((star.ORDER, star.PART, "has_item"), (star.ORDER, star.SUPPLIER, "supplied_by"), (star.PART, star.SUPPLIER, "sold_by"))])).alias("x")).select("table_id", "x.*")
     return model.claims(cells, relations)
 
 

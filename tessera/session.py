@@ -34,4 +34,13 @@ def staged(df: DataFrame, what: str = "staged") -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more, such as the rounds before the last of an iteration."""
+    for df in tables:
+        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
