@@ -22,6 +22,8 @@ from pyspark.sql.window import Window
 from tessera.llm import _stage
 
 KINDS = ("email", "ip", "card", "phone")
+#: Characters of a text that are redacted at once.
+PIECE = 1 << 14
 #: The patterns, written so that no match is tried twice: possessive where nothing after could give back, and begun only where a
 #: run begins or the last match ended. They match what the plain forms in the comments match.
 PATTERNS = {
@@ -93,7 +95,9 @@ def found_spans(docs: DataFrame, row: str | None = None) -> DataFrame:
     # a token overlaps a base span if one that begins no later ends after its start, or the next one begins before its end
     order = Window.partitionBy("row").orderBy("start")
     past = F.max(F.when(F.col("base"), F.col("end"))).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    following = F.min(F.when(F.col("base"), F.col("start"))).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    # seen from the end, so that it runs along as ``past`` does: a frame that ends with the partition is made anew for every row
+    backward = Window.partitionBy("row").orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    following = F.min(F.when(F.col("base"), F.col("start"))).over(backward)
     free = F.coalesce(past <= F.col("start"), F.lit(True)) & F.coalesce(following >= F.col("end"), F.lit(True))
     marked = placed.withColumn("free", free)
     return _stage.written(marked.where(F.col("kind").isNull() | F.col("base") | F.col("free")).drop("free", "at", "gap", "len"), "spans")
@@ -160,14 +164,21 @@ def redact(docs: DataFrame, mark: str = "<{}>") -> DataFrame:
     found = extract(numbered.select("nr", F.col("own.doc_id").alias("doc_id"), F.col("own.text").alias("text")), "nr").where(F.size("spans") > 0).select(F.col("row").alias("nr"), "spans")
     joined = numbered.join(_stage.written(found, "found"), "nr", "left")
     text = F.col("own.text")
-    pieces = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.format_string(mark.replace("{}", "%s"), s["kind"])).alias("out"))).otherwise(
-            F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))
-        ),
-        lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.lit(2147483647))),
-    )
+    # a place is found by counting from the beginning, so long texts are cut into pieces first; a span's kind stands where it begins
+    size = F.lit(PIECE)
+    cut = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / PIECE).cast("int")), lambda i: F.struct((i * size).alias("low"), F.substring(text, i * size + 1, size).alias("piece")))
+
+    def redacted(x: Column) -> Column:
+        between = lambda a, b: F.substring(x["piece"], (a - x["low"] + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+        own = F.filter("spans", lambda s: (s["end"] > x["low"]) & (s["start"] < x["low"] + size))
+        return F.aggregate(
+            own,
+            F.struct(x["low"].cast("long").alias("at"), F.lit("").alias("out")),
+            lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], between(a["at"], s["start"]), F.format_string(mark.replace("{}", "%s"), s["kind"])).alias("out"))).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))),
+            lambda a: F.when(a["at"] < x["low"] + size, F.concat(a["out"], between(a["at"], x["low"] + size))).otherwise(a["out"]),
+        )
+
+    pieces = F.array_join(F.transform(cut, redacted), "")
     clean = F.when(F.col("spans").isNull(), text).otherwise(pieces)
     changed = joined.select(*[clean.alias(c) if c == "text" else F.col(f"own.`{c}`").alias(c) for c in docs.columns])
     return docs.where(~may).unionByName(changed)
