@@ -17,21 +17,27 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "te
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
 
 
-def staged(df: DataFrame, what: str = "staged") -> DataFrame:
-    """``df`` written as Parquet into the folder that all machines share, and read again: what several parts of a query use is made once, and lost executors
-    cost only their own tasks. The folder is ``spark.checkpoint.dir``; only where that is unset on one machine a temporary one is made."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, ``spark.checkpoint.dir``. Only where that is unset on one machine a temporary one is made."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         where = tempfile.mkdtemp(prefix="spark-tessera-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", where)
+    return where
+
+
+def staged(df: DataFrame, what: str = "staged") -> DataFrame:
+    """``df`` written as Parquet into the folder that all machines share, and read again: what several parts of a query use is made once, and lost executors
+    cost only their own tasks."""
+    spark, where = df.sparkSession, shared_folder(df.sparkSession)
     path = f"{where}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

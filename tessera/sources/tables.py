@@ -46,15 +46,24 @@ def _stem(suffix: str) -> Column:
     return F.regexp_extract(F.col("_metadata.file_name"), rf"^(.*?){suffix}$", 1)
 
 
-def read_csv(spark: SparkSession, glob: str, first_row_header: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Cells and columns of CSV files of any width; the stem of the file's name is the table's id. An empty file is an error.
+def _table_of(pattern: str, suffix: str = r"(?:\.[^.]*)?") -> Column:
+    """The table that a file holds: what ``{table_id}`` of the pattern stands for, or else the file's stem."""
+    names = re.findall(r"\{(\w+)\}", pattern)
+    if "table_id" not in names:
+        return _stem(suffix)
+    return F.regexp_extract("_metadata.file_path", f"{named_glob(pattern)[1]}$", names.index("table_id") + 1)
+
+
+def read_csv(spark: SparkSession, pattern: str, first_row_header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Cells and columns of CSV files of any width. A table's id is the stem of its file's name, or what ``{table_id}`` stands for in the pattern. An empty file is an error.
 
     Without a header, columns are named ``column-000`` and so on. A byte order mark is dropped; all values are texts.
     """
+    glob = named_glob(pattern)[0]
     files = spark.read.text(glob, wholetext=True)
-    texts = files.select(_stem(r"(?:\.[^.]*)?").alias("table_id"), F.regexp_replace("value", "^\uFEFF", "").alias("value"))
-    # Spark reads no row of an empty file, so files are told from the listing
-    listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string").select(F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1).alias("table_id"))
+    texts = files.select(_table_of(pattern).alias("table_id"), F.regexp_replace("value", "^\uFEFF", "").alias("value"))
+    # Spark reads no row of an empty file, so these are told from a listing, of which the contents are not read
+    listed = spark.read.format("binaryFile").load(glob).where("length = 0").select(_table_of(pattern).alias("table_id"))
     texts = texts.unionByName(listed.join(texts, "table_id", "left_anti").withColumn("value", F.lit("")))
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,11 +110,16 @@ def parse_link_lines(lines: DataFrame, cells: DataFrame, top_k: int = 100, keep_
     return links
 
 
-def read_csv_corpus(spark: SparkSession, glob: str, first_row_header: bool = True, top_k: int = 100) -> Corpus:
-    """CSV tables with the links of the files beside them, ``stem.links.tsv``; a table without such a file has no links, and none has a context."""
-    cells, columns = read_csv(spark, glob, first_row_header)
-    beside = re.sub(r"\.csv$", ".links.tsv", glob)
-    lines = spark.read.option("pathGlobFilter", "*.links.tsv").text(re.sub(r"[^/]*$", "", beside) or ".", wholetext=True).select(_stem(r"\.links\.tsv").alias("table_id"), F.posexplode(F.split("value", "\r?\n")).alias("nr", "value"))
+def read_csv_corpus(spark: SparkSession, pattern: str, first_row_header: bool = True, top_k: int = 100, links: str | None = None) -> Corpus:
+    """CSV tables with the links of the files beside them, ``stem.links.tsv``, or of those that the pattern ``links`` names; a table without such a file has no links, and none
+    has a context."""
+    cells, columns = read_csv(spark, pattern, first_row_header)
+    if links is None:
+        beside = re.sub(r"\.csv$", ".links.tsv", pattern)
+        files = spark.read.option("pathGlobFilter", "*.links.tsv").text(re.sub(r"[^/]*$", "", beside) or ".", wholetext=True).withColumn("table_id", _stem(r"\.links\.tsv"))
+    else:
+        files = spark.read.text(named_glob(links)[0], wholetext=True).withColumn("table_id", _table_of(links))
+    lines = files.select("table_id", F.posexplode(F.split("value", "\r?\n")).alias("nr", "value"))
     links = parse_link_lines(lines.join(columns.select("table_id").distinct(), "table_id", "left_semi"), cells, top_k)
     contexts = columns.select("table_id", F.lit(None).cast("string").alias("entity_id"), F.lit(None).cast("string").alias("title")).distinct()
     return Corpus(cells, columns, links, contexts)
@@ -147,6 +161,30 @@ def to_json(corpus: Corpus) -> DataFrame:
     return whole.select("table_id", F.to_json(F.struct(F.lit(VERSION).alias("version"), "table_id", "columns", F.coalesce("links", F.array().cast(f"array<array<array<{LINK}>>>")).alias("links"), "context")).alias("value"))
 
 
+def write_csv_corpus(corpus: Corpus, path: str) -> None:
+    """A CSV text for each table in ``path/tables/table_id=...``, and its links in ``path/links/table_id=...``: see ``csv_patterns``."""
+    quoted = F.concat(F.lit('"'), F.replace(F.coalesce("value", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    header = corpus.columns.select("table_id", F.lit(-1).cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("name").alias("value"))
+    every = header.unionByName(corpus.cells.select("table_id", "row", F.col("col").cast("long").alias("col"), "value"))
+    in_order = lambda of, by: F.transform(F.array_sort(F.collect_list(F.struct(*by, of))), lambda x: x[of])
+    lines = every.withColumn("cell", quoted).groupBy("table_id", "row").agg(F.array_join(in_order("cell", ["col"]), ",").alias("line"))
+    lines.groupBy("table_id").agg(F.array_join(in_order("line", ["row"]), "\n").alias("value")).write.partitionBy("table_id").text(f"{path}/tables")
+    listed = F.transform("candidates", lambda c: F.concat(c["entity_id"], F.lit(":"), c["prob"].cast("string")))
+    named = corpus.links.select("table_id", "row", "col", "nr", F.concat_ws("\t", F.col("row").cast("string"), F.col("col").cast("string"), F.coalesce("entity_id", F.lit("")), F.array_join(listed, "\t")).alias("line"))
+    named.groupBy("table_id").agg(F.array_join(in_order("line", ["row", "col", "nr"]), "\n").alias("value")).write.partitionBy("table_id").text(f"{path}/links")
+
+
+def csv_patterns(path: str) -> tuple[str, str]:
+    """The patterns of the tables and of the links that ``write_csv_corpus`` writes."""
+    return tuple(f"{path}/{kind}/table_id={{table_id}}/*.txt" for kind in ("tables", "links"))
+
+
+def write_json_corpus(corpus: Corpus, path: str) -> None:
+    """A file for each table in the folder ``path``, as ``read_json_corpus`` reads them."""
+    whole = to_json(corpus).select(F.from_json("value", JSON_TABLE).alias("t")).select("t.*")
+    whole.write.option("maxRecordsPerFile", 1).json(path)
+
+
 def read_corpus(spark: SparkSession, glob: str, **options) -> Corpus:
     """Tables by the extension of their files, ``.csv`` or ``.json``; others are not supported."""
     readers = {".csv": read_csv_corpus, ".json": read_json_corpus}
