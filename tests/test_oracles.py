@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tessera.plans import annotation, files, pages, queries, registry, solvers  # noqa: F401
+from tessera.plans import annotation, details, files, pages, queries, registry, solvers  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
