@@ -46,6 +46,8 @@ BUCKET_ENTRIES = 400_000
 LIST_ENTRIES = 10_000
 #: Classes of a list whose pairs are counted in place; longer lists make families.
 SHORT = 64
+#: Pairs of a bucket that are looked at at once.
+PAIRS = 1 << 20
 #: Shingles of one side of a tile.
 TILE = 1 << 18
 #: Bits of the filter that keeps the sets of classes with a partner; a fuller filter lets through more sets, nothing else.
@@ -202,6 +204,13 @@ def _postings(order, n: int, num: int, den: int, buckets: int):
 _LISTS = "h long, a long, an long, b long, bn long, shared long"
 
 
+def _may_link(rows: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether the sizes of two entries' sets and their places in them leave room for a link."""
+    an, bn, at, bt = (rows[c][x].astype(np.int64) for c in ("n", "at") for x in (a, b))
+    room = np.minimum(at, bt) + np.minimum(an - at, bn - bt)
+    return (np.minimum(an, bn) * den >= np.maximum(an, bn) * num) & (room * (num + den) >= num * (an + bn))
+
+
 def _lists(order, num: int, den: int, short: int):
     """What a bucket's inverted lists say: pairs of classes with the number of short lists they share, and the entries ``h, a, an`` of long lists.
 
@@ -220,13 +229,13 @@ def _lists(order, num: int, den: int, short: int):
         for m in np.unique(sizes[~long & (sizes > 1)]).tolist():
             begins = first[~long & (sizes == m)][:, None]
             x, y = np.triu_indices(m, 1)
-            left.append((begins + x).ravel())
-            right.append((begins + y).ravel())
+            step = max(1, PAIRS // len(x))
+            for s in range(0, len(begins), step):
+                a, b = (begins[s : s + step] + x).ravel(), (begins[s : s + step] + y).ravel()
+                fits = _may_link(rows, a, b, num, den)
+                left.append(a[fits])
+                right.append(b[fits])
         a, b = rows[np.concatenate(left)], rows[np.concatenate(right)]
-        an, bn, at, bt = (v.astype(np.int64) for v in (a["n"], b["n"], a["at"], b["at"]))
-        room = np.minimum(at, bt) + np.minimum(an - at, bn - bt)
-        fits = (np.minimum(an, bn) * den >= np.maximum(an, bn) * num) & (room * (num + den) >= num * (an + bn))
-        a, b = a[fits], b[fits]
         by_pair = np.lexsort((b["k"], a["k"]))
         a, b = a[by_pair], b[by_pair]
         begins = np.flatnonzero(np.append(len(a) > 0, (a["k"][1:] != a["k"][:-1]) | (b["k"][1:] != b["k"][:-1])))
