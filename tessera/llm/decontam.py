@@ -151,6 +151,7 @@ def _scan(index, carry: str | None, more: bool):
             }
             out |= {c: batch.column(c) for c in ([carry] if carry else []) + (["text"] if more else [])}
             yield pa.RecordBatch.from_pydict(out)
+        _text.give_back()
 
     return scan
 

@@ -113,6 +113,7 @@ def _survey(n: int, n_slots: int):
             if (most := part.max()) > 0:
                 kind = "<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4"
                 yield out([None], [None], [None], [None], [b // SLOT_BLOCK], [part.astype(kind).tobytes()])
+        _text.give_back()
 
     return survey
 
@@ -197,6 +198,8 @@ def _postings(order, n: int, num: int, den: int, buckets: int):
                     hold, held = [], 0
         if hold:
             yield from flush()
+        hold = []
+        _text.give_back()
 
     return post
 
@@ -248,6 +251,7 @@ def _lists(order, num: int, den: int, short: int):
         columns[0] = pa.chunked_array([pa.nulls(len(a), pa.int64()), pa.array(np.ascontiguousarray(entries["h"]).view(np.int64))])
         columns[1], columns[2] = of(a["k"], pa.array(np.ascontiguousarray(entries["k"]))), of(a["n"], pa.array(entries["n"].astype(np.int64)))
         columns[3], columns[4], columns[5] = of(b["k"], none), of(b["n"], none), of(shared, none)
+        _text.give_back()
         return pa.Table.from_arrays(columns, names=["h", "a", "an", "b", "bn", "shared"])
 
     return lists
@@ -370,6 +374,8 @@ def _searched(num: int, den: int):
                     if forest.join(q, members[j][1]):
                         links.append((q, members[j][1]))
         a, b = zip(*links, strict=True) if links else ((), ())
+        rows = members = queries = index = None
+        _text.give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return search
@@ -534,6 +540,7 @@ def _sets(texts: DataFrame, members: DataFrame, keys: DataFrame, n: int, tasks:
                     rows.append((key_of(cls), cls, own.tobytes()))
             k, cls, body = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_pydict({"k": pa.array(k, pa.int64()), "cls": pa.array(cls, pa.binary()), "body": pa.array(body, pa.binary())})
+        _text.give_back()
 
     found = texts.select("row_key", "text").mapInArrow(emit, "k long, cls binary, body binary")
     return _stage.written(found.dropDuplicates(["cls"]), "sets")
