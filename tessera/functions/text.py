@@ -1,5 +1,6 @@
 """Text, number and date columns."""
 
+from collections.abc import Callable
 from datetime import datetime
 
 import pandas as pd
@@ -65,10 +66,27 @@ def first_day_of_year(date: Column) -> Column:
     return date["year"].isNotNull() & (date["month"] == 1) & (date["day"] == 1)
 
 
-def parsed(cells: DataFrame) -> DataFrame:
-    """``cells`` with ``normed, number, unit, date`` of ``value``; each distinct text is parsed once."""
+#: Parsers by name, for configurations to choose from.
+DATE_PARSERS: dict[str, Callable[[Column], Column]] = {"basic": fuzzy_date}
+NUMBER_PARSERS: dict[str, Callable[[Column], Column]] = {"basic": parse_number}
+
+
+def register_parser(name: str, *, date: Callable[[Column], Column] | None = None, number: Callable[[Column], Column] | None = None) -> None:
+    """Adds parsers under a name; one that is taken is an error."""
+    for known, own in ((DATE_PARSERS, date), (NUMBER_PARSERS, number)):
+        if own is not None:
+            if name in known:
+                raise ValueError(f"there is a parser {name} already")
+            known[name] = own
+
+
+def parsed(cells: DataFrame, dates: str = "basic", numbers: str = "basic") -> DataFrame:
+    """``cells`` with ``normed, number, unit, date`` of ``value``; each distinct text is parsed once, by the parsers named. An unknown name is an error."""
+    for known, name in ((DATE_PARSERS, dates), (NUMBER_PARSERS, numbers)):
+        if name not in known:
+            raise ValueError(f"there is no parser {name}; there are {sorted(known)}")
     texts = cells.select("value").distinct().withColumn("normed", norm_string(F.col("value")))
-    found = texts.select(F.col("value").alias("text"), "normed", parse_number(F.col("normed")).alias("number"), number_unit(F.col("normed")).alias("unit"), fuzzy_date(F.col("normed")).alias("date"))
+    found = texts.select(F.col("value").alias("text"), "normed", NUMBER_PARSERS[numbers](F.col("normed")).alias("number"), number_unit(F.col("normed")).alias("unit"), DATE_PARSERS[dates](F.col("normed")).alias("date"))
     return cells.join(found, F.col("value").eqNullSafe(F.col("text")), "left").drop("text")
 
 

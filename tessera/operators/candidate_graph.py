@@ -76,3 +76,20 @@ def above(edges: DataFrame, probabilities: DataFrame, threshold: float) -> DataF
     """``edges`` with ``prob``, those of ``threshold`` or more, without dangling statements. Nodes that no edge is left to are gone with them."""
     likely = probabilities.where(F.col("prob") >= threshold)
     return without_dangling(edges.join(likely, ["table_id", "src", "dst", "pred"]))
+
+
+def drawn(edges: DataFrame, columns: DataFrame) -> DataFrame:
+    """``table_id, line``: each table's graph as the lines of a drawing in DOT: columns (``columns``: table_id, col, name) as gold text, all other nodes as grey ellipses."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit("'")), F.lit('"'))
+    nodes = edges.select("table_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    named = nodes.join(columns.select("table_id", F.concat(F.lit("col:"), F.col("col").cast("string")).alias("node"), "col", "name"), ["table_id", "node"], "left")
+    label = F.when(F.col("name").isNotNull(), F.concat("name", F.lit(" (column "), F.col("col").cast("string"), F.lit(")"))).otherwise(F.regexp_replace("node", "^(?:ent|val):", ""))
+    style = F.when(F.col("node").startswith("col:"), "shape=plaintext, style=filled, fillcolor=gold").otherwise("shape=ellipse, style=filled, color=white, fillcolor=lightgray")
+    lines = named.select("table_id", F.concat(quoted(F.col("node")), F.lit(" [label="), quoted(label), F.lit(", "), style, F.lit("];")).alias("line"))
+    arrows = edges.select("table_id", F.concat(quoted(F.col("src")), F.lit(" -> "), quoted(F.col("dst")), F.lit(" [label="), quoted(F.col("pred")), F.lit("];")).alias("line"))
+    return lines.unionByName(arrows)
+
+
+def as_dot(edges: DataFrame, columns: DataFrame) -> DataFrame:
+    """``table_id, dot``: each table's drawing as one text."""
+    return drawn(edges, columns).groupBy("table_id").agg(F.concat(F.lit("digraph {\n"), F.array_join(F.array_sort(F.collect_list("line")), "\n"), F.lit("\n}")).alias("dot"))

@@ -459,6 +459,18 @@ def cg_links(spark, sf_dir):
     return graph.edges(_linked_flow(spark, sf_dir))
 
 
+@query(
+    _LINKS
+    + """, nn as (select table_id, src as node from ce union select table_id, dst from ce), lb as (select table_id, node, case node when 'col:0' then 'order (column 0)' when 'col:1' then 'part (column 1)' when 'col:2' then 'supplier (column 2)' else regexp_replace(node, '^ent:', '') end as label from nn)
+    select table_id, '"' || node || '" [label="' || label || '", ' || case when node like 'col:%' then 'shape=plaintext, style=filled, fillcolor=gold' else 'shape=ellipse, style=filled, color=white, fillcolor=lightgray' end || '];' as line from lb union all select table_id, '"' || src || '" -> "' || dst || '" [label="' || pred || '"];' from ce"""
+)
+def cg_drawing(spark, sf_dir):
+    """The candidate graph as a drawing: columns gold, all else grey."""
+    names = F.array(*[F.struct(F.lit(c).alias("col"), F.lit(n).alias("name")) for c, n in enumerate(("order", "part", "supplier", "quantity"))])
+    columns = _n_rows(spark, sf_dir).select("table_id", F.explode(names).alias("c")).select("table_id", "c.*")
+    return graph.drawn(graph.edges(_linked_flow(spark, sf_dir)), columns)
+
+
 @query(_LINKS + " select table_id, src, dst, pred from ce where pred <> 'in_nation'")
 def select_steiner_tree(spark, sf_dir):
     """The best tree over all columns among the edges above a half."""

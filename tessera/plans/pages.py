@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.plans import star
 from tessera.plans.registry import query
-from tessera.session import staged
-from tessera.sources import context, html
+from tessera.session import shared_folder, staged
+from tessera.sources import archives, context, html
 
 
 def _text(*parts: Column | str) -> Column:
@@ -134,3 +136,14 @@ def html_items(spark, sf_dir):
     found = context.table_contexts(_headed(spark, sf_dir)).where("level = 2").select("url", F.explode("content_before").alias("i"))
     value = F.when(F.col("i.id") < 0, F.format_string("\n{%d}", F.col("i.n_lines"))).otherwise(F.col("i.value"))
     return found.select("url", value.alias("value"), F.array_join("i.tags", ">").alias("tags"), F.array_join(F.map_values("i.hrefs"), ",").alias("href"))
+
+
+@query("""select 'urn:page:' || page_id as name, url, 'response' as kind, md5(coalesce(html, '')) as digest, cast(octet_length(encode(coalesce(html, ''))) as bigint) as bytes from pages""")
+def pages_archive(spark, sf_dir):
+    """All pages written as archives and read again by the data source, archive by archive."""
+    at = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    own = star.read(spark, sf_dir, "pages").select(_text("urn:page:", F.col("page_id")).alias("name"), "url", "html")
+    archives.write_archives(own.repartition(3), at)
+    archives.register(spark)
+    found = archives.pages(spark.read.format("page_archive").load(at))
+    return found.select("name", "url", "kind", F.md5("html").alias("digest"), F.octet_length("html").cast("long").alias("bytes"))

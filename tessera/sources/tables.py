@@ -62,8 +62,10 @@ def read_csv(spark: SparkSession, pattern: str, first_row_header: bool = True) -
     glob = named_glob(pattern)[0]
     files = spark.read.text(glob, wholetext=True)
     texts = files.select(_table_of(pattern).alias("table_id"), F.regexp_replace("value", "^\uFEFF", "").alias("value"))
-    # Spark reads no row of an empty file, so these are told from a listing, of which the contents are not read
-    listed = spark.read.format("binaryFile").load(glob).where("length = 0").select(_table_of(pattern).alias("table_id"))
+    # Spark reads no row of an empty file, so files are told from its own listing
+    regex = f"{named_glob(pattern)[1]}$" if "{table_id}" in pattern else r"([^/]*?)(?:\.[^./]*)?$"
+    group = re.findall(r"\{(\w+)\}", pattern).index("table_id") + 1 if "{table_id}" in pattern else 1
+    listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string").select(F.regexp_extract("path", regex, group).alias("table_id"))
     texts = texts.unionByName(listed.join(texts, "table_id", "left_anti").withColumn("value", F.lit("")))
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
