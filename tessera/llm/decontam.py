@@ -5,7 +5,7 @@ Items are cut into windows of ``window`` consecutive words (an item of fewer wor
 rarest over all documents. Documents and windows are joined on that shingle, its place bounds where the window would have to
 begin and end, and each candidate is verified word by word over the window.
 
-Defined results: a null or empty text has no words; a null or empty item has no windows; repeated rows are treated each on its
+Defined results: a null item_id is the empty one, and counts as one item with it; a null or empty text has no words; a null or empty item has no windows; repeated rows are treated each on its
 own; an empty benchmark hits nothing; other columns are ignored, ``carry`` columns come back untouched.
 """
 
