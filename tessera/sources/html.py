@@ -8,15 +8,15 @@ and reported in ``status``.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.grouped import by_row
 from tessera.sources.tables import CANDIDATES, Corpus
 
 LINKS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("href", T.StringType())]))
@@ -160,13 +160,7 @@ def tables_of(url: str, html: str | None) -> Iterator[tuple]:
 
 def html_cells(pages: DataFrame) -> DataFrame:
     """``url, table, row, col, value, header, links, status`` of every cell of every table of ``pages`` (url, html)."""
-
-    def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [x for url, html in zip(pdf["url"], pdf["html"], strict=True) for x in tables_of(url, html)]
-            yield pd.DataFrame(rows, columns=[f.name for f in CELLS])
-
-    return pages.select("url", "html").mapInPandas(cut, CELLS)
+    return by_row(pages.select("url", "html"), tables_of, CELLS)
 
 
 def linked_cells(cells: DataFrame, sitelinks: DataFrame) -> DataFrame:
