@@ -104,11 +104,16 @@ def html_linked_tables(spark, sf_dir):
     return corpus.contexts.join(heads, "table_id").join(corpus.shape().select("table_id", "n_cells"), "table_id").select("table_id", "entity_id", "title", "columns", "n_cells")
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of which pages are made, over all tasks of a shuffle: a small file, read by a task or two, makes pages that take long to parse."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``url, html``: a page for each customer with headings of three levels before a table, one of which a later one cuts off, and text around."""
     c, n = F.col("c_custkey"), F.col("c_nationkey")
     body = _text("<h1>Customers</h1><p>All.</p><h3>Cut off</h3><p>Gone.</p><h2>Customer <i>", c, '</i></h2><div>Lives in <b>N<a href="/n/', n, '">', n, "</a></b>.<script>no()</script></div><h3>Orders</h3><p>Of ", c, ":</p><table><tr><td>x</td></tr></table><p>See <i>also</i> N", n, ".</p><h2>Next</h2><p>Not here.</p>")
-    return star.read(spark, sf_dir, "customer").select(_text("http://shop.test/c/", c).alias("url"), _text("<html><head><title>t</title></head><body>", body, "</body></html>").alias("html"))
+    return _dealt(star.read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey").select(_text("http://shop.test/c/", c).alias("url"), _text("<html><head><title>t</title></head><body>", body, "</body></html>").alias("html"))
 
 
 _HEADINGS = """, h as (select 'http://shop.test/c/' || c_custkey as url, c_custkey as c, c_nationkey as n from customer)"""
