@@ -65,6 +65,34 @@ def test_corpora_come_back_as_they_were_written(spark, tmp_path):
         assert rows(read.candidates(), "table_id", "row", "col", "entity_id", "prob") == rows(own.candidates(), "table_id", "row", "col", "entity_id", "prob")
 
 
+def test_many_tables_share_files(spark, tmp_path):
+    cells = spark.range(200).select(F.col("id").cast("string").alias("table_id"), F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("col"), F.concat(F.lit("v"), "id").alias("value"))
+    columns = spark.range(201).select(F.col("id").cast("string").alias("table_id"), F.lit(0).cast("long").alias("col"), F.lit("n").alias("name"))  # one more has no rows
+    links = cells.limit(0).select("table_id", "row", "col", F.lit(0).alias("nr"), F.from_json(F.lit("{}"), tables.LINK).alias("l")).select("table_id", "row", "col", "nr", "l.*")
+    tables.write_csv_corpus(tables.Corpus(cells, columns, links, None), f"{tmp_path}/csv")
+    assert sum(p.is_file() for p in tmp_path.rglob("*") if not p.name.startswith((".", "_"))) <= 20
+    cut, beside = tables.csv_patterns(f"{tmp_path}/csv")
+    read = tables.read_csv_corpus(spark, cut, links=beside)
+    assert read.links.count() == 0 and read.linked_cells().count() == 200 and read.columns.count() == 201
+    assert {(r["table_id"], r["value"]) for r in read.cells.collect()} == {(str(i), f"v{i}") for i in range(200)}
+
+
+def test_tables_and_links_in_folders_that_name_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "LINES", 2)
+    for table, text in (("a", "x,y\n1\n2,3,4\n\n5,6\n"), ("b", "x\n7\n")):
+        (tmp_path / f"t={table}").mkdir()
+        (tmp_path / f"t={table}" / "one.csv").write_text(text)
+    for table, text in (("a", "1\t2\t\tQ1:0.5\tQ2\r\n\n2\t1\tQ3\n0\t1\tQ4\n 1\t2\thttp://www.wikidata.org/entity/Q5:0.25"), ("c", "0\t0\tQ6")):
+        (tmp_path / f"{table}.tsv").write_text(text)
+    read = tables.read_csv_corpus(spark, f"{tmp_path}/t={{table_id}}/*.csv", links=f"{tmp_path}/{{table_id}}.tsv")
+    links = lambda of: {(r["table_id"], r["row"], r["col"], r["nr"], r["end"], r["entity_id"], tuple((c["entity_id"], c["prob"]) for c in r["candidates"] or [])) for r in of.collect()}
+    own = {("a", 1, 2, 0, 1, None, (("Q1", 0.5), ("Q2", 1.0))), ("a", 2, 1, 2, 1, "Q3", (("Q3", 1.0),)), ("a", 1, 2, 4, 1, "Q5", (("Q5", 1.0),))}
+    assert links(read.links) == own | {("a", 0, 1, 3, None, "Q4", (("Q4", 1.0),))}  # no such cell
+    without = {("a", r, c, None, None, None, ()) for r, c in ((0, 0), (1, 0), (1, 1), (2, 0))} | {("b", 0, 0, None, None, None, ())}
+    assert links(read.linked_cells()) == own | without
+    assert {tuple(r) for r in read.cells.collect()} == {("a", 0, 0, "1"), ("a", 1, 0, "2"), ("a", 1, 1, "3"), ("a", 1, 2, "4"), ("a", 2, 0, "5"), ("a", 2, 1, "6"), ("b", 0, 0, "7")}
+
+
 def test_an_empty_file_is_told(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x,y\n1,2\n")
     (tmp_path / "b.csv").write_text("")
