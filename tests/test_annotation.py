@@ -296,3 +296,13 @@ def test_forest_repeats_a_class_under_each_parent(spark):
     assert {(r["child"], r["parent"]) for r in features.transitive_reduction(parents).collect()} == {("a", "b"), ("b", "c"), ("a", "d"), ("e", "x"), ("x", "c")}
     with pytest.raises(Exception, match="above itself"):
         features.forest(asked, parents.union(spark.createDataFrame([("c", "a")], "child string, parent string"))).collect()
+
+
+def test_a_chosen_class_of_all_entities_has_no_label_of_its_own(spark):
+    """Only a subject column without a class gets that class's fixed label."""
+    cpa = spark.createDataFrame([(t, "col:0", "stmt:a", "p") for t in (1, 2)] + [(t, "stmt:a", "col:1", "p") for t in (1, 2)], "table_id long, src string, dst string, pred string")
+    cta = spark.createDataFrame([(1, 1, model.ENTITY), (2, 1, "Q2 Q1")], "table_id long, col long, class string")
+    columns = spark.createDataFrame([(t, c, f"c{c}") for t in (1, 2) for c in (0, 1)], "table_id long, col long, name string")
+    nodes, _ = model.create(cpa, cta, columns, spark.createDataFrame([("Q2", "two")], "id string, label string"))
+    found = {(r["table_id"], r["id"]): r["label"] for r in nodes.where("kind = 'class'").collect()}
+    assert found == {(1, "class:0"): "Entity (Q35120)", (1, "class:1"): "Q35120", (2, "class:0"): "Entity (Q35120)", (2, "class:1"): "two (Q2)"}
